@@ -35,11 +35,17 @@ STRIPPED_KEYWORDS = [
     "definitions", "$defs", "properties", "patternProperties", "oneOf", "allOf", "anyOf", "items",
 ]
 
-INDEX = token("index", F.lit("*"))
-ANY = token("any", F.lit("*"))
 PATHS = f"array<array<{TOKEN}>>"
 
 
+def _index() -> Column:
+    return token("index", F.lit("*"))
+
+
+def _any() -> Column:
+    return token("any", F.lit("*"))
+
+
 def _key(e: Column) -> Column:
     return token("key", e.key)
 
@@ -59,13 +65,13 @@ def closed_children(s: Column) -> Column:
         ),
     ).otherwise(J.empty(f"array<{STATE}>"))
     return F.concat(
-        F.transform(single(s.x, "additionalProperties"), lambda v: step(s, ANY, v)),
+        F.transform(single(s.x, "additionalProperties"), lambda v: step(s, _any(), v)),
         F.transform(entries(s.x, "properties"), lambda e: step(s, _key(e), e.value)),
         F.transform(
             entries(s.x, "patternProperties"), lambda e: step(s, token("regex", e.key), e.value)
         ),
-        F.transform(F.concat(single(s.x, "items"), items(s.x, "items")), lambda v: step(s, INDEX, v)),
-        F.transform(items(s.x, "prefixItems"), lambda v: step(s, INDEX, v, no)),
+        F.transform(F.concat(single(s.x, "items"), items(s.x, "items")), lambda v: step(s, _index(), v)),
+        F.transform(items(s.x, "prefixItems"), lambda v: step(s, _index(), v, no)),
         *_combined(s),
         conditional,
     )
@@ -93,8 +99,8 @@ def explicit_children(s: Column) -> Column:
     list-valued ``items`` and ``else`` are not followed, array keywords need ``type: array``."""
     none = J.empty(f"array<{STATE}>")
     array_steps = F.concat(
-        F.transform(single(s.x, "items"), lambda v: step(s, INDEX, v)),
-        F.transform(items(s.x, "prefixItems"), lambda v: step(s, INDEX, v)),
+        F.transform(single(s.x, "items"), lambda v: step(s, _index(), v)),
+        F.transform(items(s.x, "prefixItems"), lambda v: step(s, _index(), v)),
     )
     return F.concat(
         F.transform(entries(s.x, "properties"), lambda e: step(s, _key(e), e.value)),
@@ -152,9 +158,9 @@ def open_paths(schemas: DataFrame, max_path_length: int = MAX_PATH_LENGTH) -> Da
             F.transform(entries(s.x, "properties"), lambda e: step(s, _key(e), e.value)),
             *_combined(s),
             F.when(
-                type_is(s.x, "array"), F.transform(single(s.x, "items"), lambda v: step(s, INDEX, v))
+                type_is(s.x, "array"), F.transform(single(s.x, "items"), lambda v: step(s, _index(), v))
             ).otherwise(none),
-            F.transform(items(s.x, "prefixItems"), lambda v: step(s, INDEX, v)),
+            F.transform(items(s.x, "prefixItems"), lambda v: step(s, _index(), v)),
             F.transform(single(s.x, "then"), lambda v: step(s, None, v)),
         )
 
@@ -225,9 +231,9 @@ def has_pattern_properties(schemas: DataFrame) -> DataFrame:
     def children(s):
         return F.concat(
             F.transform(entries(s.x, "properties"), lambda e: step(s, _key(e), e.value)),
-            F.transform(single(s.x, "additionalProperties"), lambda v: step(s, ANY, v)),
-            F.transform(F.concat(single(s.x, "items"), items(s.x, "items")), lambda v: step(s, INDEX, v)),
-            F.transform(items(s.x, "prefixItems"), lambda v: step(s, INDEX, v)),
+            F.transform(single(s.x, "additionalProperties"), lambda v: step(s, _any(), v)),
+            F.transform(F.concat(single(s.x, "items"), items(s.x, "items")), lambda v: step(s, _index(), v)),
+            F.transform(items(s.x, "prefixItems"), lambda v: step(s, _index(), v)),
             *_combined(s),
             F.transform(single(s.x, "then"), lambda v: step(s, None, v)),
         )
@@ -254,7 +260,7 @@ def dynamic_paths_dotted(schemas: DataFrame) -> DataFrame:
             .when(named, F.transform(entries(s.x, "properties"), lambda e: step(s, _key(e), e.value)))
             .when(
                 F.size(entries(s.x, "patternProperties")) == 1,
-                F.transform(entries(s.x, "patternProperties"), lambda e: step(s, ANY, e.value)),
+                F.transform(entries(s.x, "patternProperties"), lambda e: step(s, _any(), e.value)),
             )
             .otherwise(none)
         )
