@@ -36,11 +36,13 @@ def descend(
     state_type: str,
     levels: Column,
     max_depth: int | None = None,
+    usual_levels: int | None = None,
 ) -> Column:
     """All states reachable from ``roots`` through ``children``, parents before children.
 
-    ``levels`` bounds the number of rounds and is evaluated only for the rare value that is
-    deeper than ``USUAL_LEVELS``. With ``max_depth`` a value that goes deeper raises.
+    ``levels`` bounds the number of rounds. With ``usual_levels`` that many rounds are tried first
+    and ``levels`` is evaluated only for a value that is deeper. With ``max_depth`` a value that
+    goes deeper raises.
     """
 
     def open_level(acc, _):
@@ -65,7 +67,9 @@ def descend(
         return F.when(done, acc.seen).otherwise(rest)
 
     start = F.struct(roots.cast(f"array<{state_type}>").alias("seen"), F.lit(0).alias("opened"))
-    rounds = USUAL_LEVELS if max_depth is None else max_depth
+    if max_depth is None and usual_levels is None:
+        return F.aggregate(F.sequence(F.lit(1), levels), start, open_level, lambda acc: acc.seen)
+    rounds = usual_levels if max_depth is None else max_depth
     return F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), start, open_level, finish)
 
 
@@ -74,6 +78,7 @@ def containers(
     root: Column,
     descend_arrays: bool = True,
     max_depth: int | None = None,
+    usual_levels: int | None = None,
 ) -> Column:
     """Every object and non-empty array inside ``v`` with its path, root included.
 
@@ -100,4 +105,4 @@ def containers(
         return F.coalesce(members(c), items(c), none)
 
     start = F.array(F.struct(root.alias("path"), v.alias("x")))
-    return descend(start, children, CONTAINER, opener_count(v), max_depth)
+    return descend(start, children, CONTAINER, opener_count(v) + 1, max_depth, usual_levels)

@@ -139,7 +139,9 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
                             & (n.hops <= F.size(targets)))
             return F.coalesce(kept.cast(f"array<{STATE}>"), none)
 
-        levels = opener_count(x) * F.lit(max_path_length) + F.size(targets)
+        levels = F.when(F.size(targets) == 0, opener_count(x) + 1).otherwise(
+            opener_count(x) * F.lit(max_path_length) + F.size(targets)
+        )
         return descend(F.array(root), next_states, STATE, levels)
 
     return let(ref_targets(x), body)

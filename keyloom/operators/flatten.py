@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import containers
+from keyloom.functions.descend import USUAL_LEVELS, containers
 
 ROOT = "$"
 
@@ -43,7 +43,8 @@ def flatten_json(
 
     ``doc`` is a VARIANT column; the other columns are carried. Result columns: ``path`` (starts
     with ``$``, array steps are ``*``), ``parent_path``, ``key``, ``is_index``, ``json_type``, and
-    with ``with_values`` also ``size`` (members or items) and ``scalar`` (text of scalar values).
+    with ``with_values`` also ``size`` (members or items), ``scalar`` (text of scalar values) and
+    ``members`` (key names of objects).
 
     Only names and types leave the row: values stay inside, so nothing wide reaches a shuffle.
     """
@@ -55,6 +56,7 @@ def flatten_json(
             fields += [
                 J.container_size(x).alias("size"),
                 F.when(~J.has_children(x), F.try_variant_get(x, "$", "string")).alias("scalar"),
+                F.map_keys(J.object_map(x)).alias("members"),
             ]
         return F.struct(*fields)
 
@@ -71,7 +73,7 @@ def flatten_json(
 
     v = F.col(doc)
     found = F.transform(
-        containers(v, F.array(F.lit(ROOT)), descend_arrays, max_depth),
+        containers(v, F.array(F.lit(ROOT)), descend_arrays, max_depth, USUAL_LEVELS),
         lambda c: F.struct(c.path.alias("parent_path"), entries(c.x).alias("entries")),
     )
     if include_root:
@@ -83,7 +85,7 @@ def flatten_json(
         found = F.concat(F.array(root), found)
     opened = docs.select(*keep, F.explode(found).alias("_c"))
     rows = opened.select(*keep, F.col("_c.parent_path").alias("parent_path"), F.explode("_c.entries").alias("_e"))
-    extra = ["size", "scalar"] if with_values else []
+    extra = ["size", "scalar", "members"] if with_values else []
     return rows.select(
         *keep,
         F.array_append("parent_path", F.col("_e.key")).alias("path"),
