@@ -31,6 +31,7 @@ from keyloom.functions.schema_walk import (
 from keyloom.functions.segments import java_pattern
 from keyloom.operators.flatten import flatten_json
 from keyloom.operators.joins import BROADCAST_BYTES, measured_bytes, sized_join
+from keyloom.session import materialize
 
 # Keywords with a number to compare with.
 LIMITS = [
@@ -216,6 +217,7 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
         F.transform("path", lambda t: t.kind.isin("any", "regex")).alias("mask"),
         F.transform("path", lambda t: F.when(t.kind.isin("any", "regex"), "").otherwise(t.token)).alias("fixed"),
     ).withColumnRenamed("path", "steps")
+    constraints = materialize(constraints, "constraints")
     fits = measured_bytes(constraints) <= BROADCAST_BYTES
     masks = constraints.select("dataset", "mask", F.size("mask").alias("length")).distinct()
     values = flatten_json(

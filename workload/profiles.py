@@ -109,7 +109,7 @@ for _name, _docs in (("lines", I.LINE_DOCS), ("events", I.EVENT_DOCS), ("orders"
     counts AS (SELECT dataset, array_to_string(path[:-2], '/') AS path, path[-1] AS key, count(*) AS f
                FROM nodes WHERE len(path) > 1 GROUP BY 1, 2, 3),
     n AS (SELECT dataset, count(*) AS n FROM parsed GROUP BY 1)""", select="""
-    SELECT dataset, path, count(*) AS num_nested_keys, round(-sum((f / n) * ln(f / n)), 6) AS key_entropy,
+    SELECT dataset, path, count(*) AS num_nested_keys, round(-sum((f / n) * ln(f / n)), 6) + 0.0 AS key_entropy,
            0 AS datatype_entropy, CASE WHEN -sum((f / n) * ln(f / n)) > 1 THEN 1 ELSE 0 END AS pred
     FROM counts JOIN n USING (dataset) GROUP BY 1, 2"""),
 )
@@ -119,7 +119,7 @@ def jxplain_profile_orders(spark, sf):
     keys = materialize(profile.key_frequency(rows), "keys")
     profiles = profile.jxplain_profile(keys, profile.num_docs(keys))
     return classify.entropy_rule(profiles, datatype=0).select(
-        "dataset", path_column(), "num_nested_keys", F.round("key_entropy", 6).alias("key_entropy"),
+        "dataset", path_column(), "num_nested_keys", (F.round("key_entropy", 6) + 0.0).alias("key_entropy"),
         "datatype_entropy", "pred",
     )
 
