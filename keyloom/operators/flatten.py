@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
 from keyloom.functions.descend import USUAL_LEVELS, containers
+from keyloom.session import prepared
 
 ROOT = "$"
 
@@ -31,24 +32,8 @@ def root_keys(doc: str = "doc"):
     return F.map_keys(J.object_map(F.col(doc)))
 
 
-def flatten_json(
-    docs: DataFrame,
-    doc: str = "doc",
-    descend_arrays: bool = True,
-    include_root: bool = False,
-    with_values: bool = False,
-    max_depth: int | None = None,
-) -> DataFrame:
-    """One row per object member and array item at every depth.
-
-    ``doc`` is a VARIANT column; the other columns are carried. Result columns: ``path`` (starts
-    with ``$``, array steps are ``*``), ``parent_path``, ``key``, ``is_index``, ``json_type``, and
-    with ``with_values`` also ``size`` (members or items), ``scalar`` (text of scalar values) and
-    ``members`` (key names of objects).
-
-    Only names and types leave the row: values stay inside, so nothing wide reaches a shuffle.
-    """
-    keep = [c for c in docs.columns if c != doc]
+def _containers_with_entries(v, descend_arrays, include_root, with_values, max_depth):
+    """Path of every object and array in ``v`` with what it contains, as one array."""
 
     def described(key, is_index, x):
         fields = [key.alias("key"), is_index.alias("is_index"), J.scalar_type(x).alias("raw_type")]
@@ -71,7 +56,6 @@ def flatten_json(
         )
         return F.coalesce(members, items)
 
-    v = F.col(doc)
     found = F.transform(
         containers(v, F.array(F.lit(ROOT)), descend_arrays, max_depth, USUAL_LEVELS),
         lambda c: F.struct(c.path.alias("parent_path"), entries(c.x).alias("entries")),
@@ -83,6 +67,31 @@ def flatten_json(
             F.array(described(F.lit(ROOT), F.lit(False), v)).alias("entries"),
         )
         found = F.concat(F.array(root), found)
+    return found
+
+
+def flatten_json(
+    docs: DataFrame,
+    doc: str = "doc",
+    descend_arrays: bool = True,
+    include_root: bool = False,
+    with_values: bool = False,
+    max_depth: int | None = None,
+) -> DataFrame:
+    """One row per object member and array item at every depth.
+
+    ``doc`` is a VARIANT column; the other columns are carried. Result columns: ``path`` (starts
+    with ``$``, array steps are ``*``), ``parent_path``, ``key``, ``is_index``, ``json_type``, and
+    with ``with_values`` also ``size`` (members or items), ``scalar`` (text of scalar values) and
+    ``members`` (key names of objects).
+
+    Only names and types leave the row: values stay inside, so nothing wide reaches a shuffle.
+    """
+    keep = [c for c in docs.columns if c != doc]
+    found = prepared(
+        ("flatten", doc, descend_arrays, include_root, with_values, max_depth),
+        lambda: _containers_with_entries(F.col(doc), descend_arrays, include_root, with_values, max_depth),
+    )
     opened = docs.select(*keep, F.explode(found).alias("_c"))
     rows = opened.select(*keep, F.col("_c.parent_path").alias("parent_path"), F.explode("_c.entries").alias("_e"))
     extra = ["size", "scalar", "members"] if with_values else []

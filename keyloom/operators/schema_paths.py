@@ -26,6 +26,7 @@ from keyloom.functions.schema_walk import (
     type_is,
     walk,
 )
+from keyloom.session import prepared
 
 # Keywords that hold lists of alternative or combined schemas.
 COMBINERS = ["allOf", "anyOf", "oneOf"]
@@ -123,10 +124,16 @@ def _explicit_emit(s: Column) -> Column:
     )
 
 
-def _paths(schemas: DataFrame, children, emit, max_path_length: int) -> DataFrame:
+def _paths(schemas: DataFrame, name: str, children, emit, max_path_length: int) -> DataFrame:
+    def plain(path):
+        return F.transform(path, lambda t: F.struct(t.kind.alias("kind"), t.token.alias("token")))
+
+    def build():
+        reported = walk(F.col("x"), children, emit, max_path_length)
+        return F.array_distinct(F.transform(reported, plain))
+
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
-    plain = lambda path: F.transform(path, lambda t: F.struct(t.kind.alias("kind"), t.token.alias("token")))
-    found = F.array_distinct(F.transform(walk(F.col("x"), children, emit, max_path_length), plain))
+    found = prepared((name, max_path_length), build)
     return parsed.filter(J.is_object(F.col("x"))).select("dataset", F.explode(found).alias("path"))
 
 
@@ -143,9 +150,12 @@ def static_paths(
     ``explicit`` reports closed paths, and open ones with a final ``wild`` step.
     """
     if variant == "closed":
-        return _paths(schemas, closed_children, _closed_emit(assume_closed), max_path_length).distinct()
+        name = "assumed closed" if assume_closed else "closed"
+        return _paths(
+            schemas, name, closed_children, _closed_emit(assume_closed), max_path_length
+        ).distinct()
     if variant == "explicit":
-        return _paths(schemas, explicit_children, _explicit_emit, max_path_length).distinct()
+        return _paths(schemas, "explicit", explicit_children, _explicit_emit, max_path_length).distinct()
     raise ValueError("variant must be closed or explicit")
 
 
@@ -173,7 +183,7 @@ def open_paths(schemas: DataFrame, max_path_length: int = MAX_PATH_LENGTH) -> Da
             J.empty(PATHS)
         )
 
-    return _paths(schemas, children, emit, max_path_length).distinct().withColumn("flag", F.lit(1))
+    return _paths(schemas, "open", children, emit, max_path_length).distinct().withColumn("flag", F.lit(1))
 
 
 def _dynamic_pointers(x: Column) -> Column:
@@ -202,17 +212,21 @@ def _dynamic_pointers(x: Column) -> Column:
     return F.transform(F.filter(states, is_dynamic), lambda c: c.path)
 
 
+def _pointers_of_x() -> Column:
+    return prepared("dynamic pointers", lambda: _dynamic_pointers(F.col("x")))
+
+
 def dynamic_parents(schemas: DataFrame) -> DataFrame:
     """Raw keyword pointers of objects with patterns or open keys: (dataset, pointer), one row each."""
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
-    return parsed.select("dataset", F.explode(_dynamic_pointers(F.col("x"))).alias("pointer"))
+    return parsed.select("dataset", F.explode(_pointers_of_x()).alias("pointer"))
 
 
 def count_dynamic_keys(schemas: DataFrame) -> DataFrame:
     """How many such objects each schema has, 0 included."""
     return schemas.select("dataset", J.parse(F.col("schema_json")).alias("x")).select(
         "dataset",
-        F.coalesce(F.size(_dynamic_pointers(F.col("x"))), F.lit(0)).alias("dynamic_keys"),
+        F.coalesce(F.size(_pointers_of_x()), F.lit(0)).alias("dynamic_keys"),
     )
 
 
@@ -242,7 +256,7 @@ def has_pattern_properties(schemas: DataFrame) -> DataFrame:
         return F.array(has(s.x, "patternProperties"))
 
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
-    found = F.exists(walk(F.col("x"), children, emit), lambda p: p)
+    found = prepared("patterns", lambda: F.exists(walk(F.col("x"), children, emit), lambda p: p))
     return parsed.select("dataset", F.coalesce(found, F.lit(False)).alias("has_pattern_properties"))
 
 
@@ -272,7 +286,7 @@ def dynamic_paths_dotted(schemas: DataFrame) -> DataFrame:
     dotted = F.array_join(
         F.transform(F.slice("path", 2, F.size("path")), lambda t: F.concat(F.lit("."), t.token)), ""
     )
-    return _paths(schemas, children, emit, MAX_PATH_LENGTH).select("dataset", dotted.alias("dotted_path"))
+    return _paths(schemas, "dotted", children, emit, MAX_PATH_LENGTH).select("dataset", dotted.alias("dotted_path"))
 
 
 def path_text(path: Column) -> Column:

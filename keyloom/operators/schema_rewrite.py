@@ -9,6 +9,7 @@ from keyloom.functions import json_values as J
 from keyloom.functions import schema_rewrite as R
 from keyloom.functions.descend import containers
 from keyloom.functions.schema_walk import at, let, ref_pointer, ref_targets
+from keyloom.session import prepared
 
 
 def close_schema(schemas: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ def dereference(schemas: DataFrame) -> DataFrame:
 def _rewritten(schemas: DataFrame, **how) -> DataFrame:
     keep = [c for c in schemas.columns if c != "schema_json"]
     x = F.col("_x")
+    new_text = prepared(("rewrite", *sorted(how)), lambda: R.rewritten(x, **how))
     new = schemas.select(*keep, J.parse(F.col("schema_json")).alias("_x")).select(
-        *keep, F.when(x.isNotNull(), R.rewritten(x, **how)).alias("_new")
+        *keep, F.when(x.isNotNull(), new_text).alias("_new")
     )
     return new.select(*keep, F.col("_new.text").alias("schema_json"), "_new")
 

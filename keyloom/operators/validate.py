@@ -31,7 +31,7 @@ from keyloom.functions.schema_walk import (
 from keyloom.functions.segments import java_pattern
 from keyloom.operators.flatten import flatten_json
 from keyloom.operators.joins import BROADCAST_BYTES, measured_bytes, sized_join
-from keyloom.session import materialize
+from keyloom.session import materialize, prepared
 
 # Keywords with a number to compare with.
 LIMITS = [
@@ -143,7 +143,10 @@ def _constraints(s: Column) -> Column:
 def schema_constraints(schemas: DataFrame, max_path_length: int = MAX_PATH_LENGTH) -> DataFrame:
     """One row per constraint: dataset, path, keyword and what it compares with."""
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
-    found = F.array_distinct(walk(F.col("x"), _children, _constraints, max_path_length))
+    found = prepared(
+        ("constraints", max_path_length),
+        lambda: F.array_distinct(walk(F.col("x"), _children, _constraints, max_path_length)),
+    )
     return parsed.filter(J.is_object(F.col("x"))).select("dataset", F.inline(found))
 
 

@@ -7,7 +7,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Hashable
+
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
@@ -55,3 +58,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     target = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+_prepared: dict[tuple, tuple[SparkContext, Column]] = {}
+
+
+def prepared(key: Hashable, build: Callable[[], Column]) -> Column:
+    """A column expression built once per Spark context.
+
+    The walks over nested values are deep expressions of thousands of calls into the JVM; they name
+    their input column, so one instance serves every DataFrame that has it.
+    """
+    context = SparkContext._active_spark_context
+    known = _prepared.get((key,))
+    if known is None or known[0] is not context:
+        known = (context, build())
+        _prepared[(key,)] = known
+    return known[1]

@@ -7,4 +7,4 @@ __all__ = ["QUERIES", "SQL"]
 
 def load() -> None:
     """Import the modules that register queries."""
-    from workload import documents, labelling, profiles, schemas  # noqa: F401
+    from workload import documents, evaluation, labelling, profiles, schemas, storage  # noqa: F401
