@@ -1,14 +1,26 @@
-"""Documents to path rows."""
+"""Documents to path rows.
+
+A document is opened by a chain of ``variant_explode_outer`` steps, one per level, inside one
+narrow stage: a row per leaf, carrying the path to it. Inner nodes are not emitted separately on
+the way; each is reported by the first leaf below it, which the positions along the path tell.
+
+A VARIANT taken out of a document brings the document's whole key dictionary along, which the chain
+would copy for every child. Documents with much text, and whatever lies deeper than the chain, are
+therefore opened in place (see ``functions.descend``), where children share the dictionary.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import USUAL_LEVELS, containers
+from keyloom.functions.descend import containers
 from keyloom.session import prepared
 
+# Levels opened by the chain; deeper values and documents with more text are opened in place.
+CHAIN_LEVELS = 8
+WIDE_CHARS = 32 * 1024
 ROOT = "$"
 
 
@@ -16,9 +28,11 @@ def document_items(docs: DataFrame, json_col: str = "json") -> DataFrame:
     """Object documents as VARIANT rows; each object in a top-level array is its own document.
 
     Scalars, other array items and unparsable text yield no row. Adds ``item`` (position within
-    a top-level array, else 0) and ``doc``, drops the text.
+    a top-level array, else 0), ``doc``, and ``wide`` (the text is long), and drops the text.
     """
-    parsed = docs.withColumn("_v", J.parse(F.col(json_col))).drop(json_col)
+    parsed = docs.withColumn("_v", J.parse(F.col(json_col))).withColumn(
+        "wide", F.length(json_col) > WIDE_CHARS
+    ).drop(json_col)
     v = F.col("_v")
     candidates = F.when(J.is_object(v), F.array(v)).otherwise(
         F.filter(J.array_items(v), J.is_object)
@@ -32,42 +46,44 @@ def root_keys(doc: str = "doc"):
     return F.map_keys(J.object_map(F.col(doc)))
 
 
-def _containers_with_entries(v, descend_arrays, include_root, with_values, max_depth):
-    """Path of every object and array in ``v`` with what it contains, as one array."""
+def _described(is_index: Column, x: Column, with_values: bool) -> Column:
+    """What is reported about one member or item. The engine's type name is mapped to a JSON type
+    only when rows are emitted: here it would be evaluated once per case."""
+    fields = [J.scalar_type(x).alias("raw_type"), is_index.alias("is_index")]
+    if with_values:
+        fields += [
+            J.container_size(x).alias("size"),
+            F.when(~J.has_children(x), F.try_variant_get(x, "$", "string")).alias("scalar"),
+            F.map_keys(J.object_map(x)).alias("members"),
+        ]
+    return F.struct(*fields)
+
+
+def _info_type(with_values: bool) -> str:
+    values = ",size:int,scalar:string,members:array<string>" if with_values else ""
+    return f"struct<raw_type:string,is_index:boolean{values}>"
+
 
-    def described(key, is_index, x):
-        fields = [key.alias("key"), is_index.alias("is_index"), J.scalar_type(x).alias("raw_type")]
-        if with_values:
-            fields += [
-                J.container_size(x).alias("size"),
-                F.when(~J.has_children(x), F.try_variant_get(x, "$", "string")).alias("scalar"),
-                F.map_keys(J.object_map(x)).alias("members"),
-            ]
-        return F.struct(*fields)
+def _opened_in_place(x: Column, path: Column, descend_arrays: bool, with_values: bool) -> Column:
+    """Everything below container ``x`` at ``path``, as one array of (parent_path, key, info)."""
 
-    def entries(x):
-        members = F.transform(
-            F.map_entries(J.object_map(x)), lambda e: described(e.key, F.lit(False), e.value)
+    def entries(c):
+        members = F.map_entries(J.object_map(c.x))
+        unnamed = F.transform(
+            J.array_items(c.x),
+            lambda i: F.struct(F.lit(None).cast("string").alias("key"), i.alias("value")),
         )
-        if not descend_arrays:
-            return members
-        items = F.transform(
-            J.array_items(x), lambda i: described(F.lit("*"), F.lit(True), i)
+        return F.transform(
+            F.coalesce(members, unnamed) if descend_arrays else members,
+            lambda e: F.struct(
+                c.path.alias("parent_path"),
+                F.coalesce(e.key, F.lit("*")).alias("key"),
+                _described(e.key.isNull(), e.value, with_values).alias("info"),
+            ),
         )
-        return F.coalesce(members, items)
 
-    found = F.transform(
-        containers(v, F.array(F.lit(ROOT)), descend_arrays, max_depth, USUAL_LEVELS),
-        lambda c: F.struct(c.path.alias("parent_path"), entries(c.x).alias("entries")),
-    )
-    if include_root:
-        no_path = J.empty("array<string>")
-        root = F.struct(
-            no_path.alias("parent_path"),
-            F.array(described(F.lit(ROOT), F.lit(False), v)).alias("entries"),
-        )
-        found = F.concat(F.array(root), found)
-    return found
+    inside = F.transform(containers(x, path, descend_arrays), entries)
+    return F.flatten(F.filter(inside, lambda e: e.isNotNull()))
 
 
 def flatten_json(
@@ -80,29 +96,97 @@ def flatten_json(
 ) -> DataFrame:
     """One row per object member and array item at every depth.
 
-    ``doc`` is a VARIANT column; the other columns are carried. Result columns: ``path`` (starts
-    with ``$``, array steps are ``*``), ``parent_path``, ``key``, ``is_index``, ``json_type``, and
-    with ``with_values`` also ``size`` (members or items), ``scalar`` (text of scalar values) and
-    ``members`` (key names of objects).
-
-    Only names and types leave the row: values stay inside, so nothing wide reaches a shuffle.
+    ``doc`` is a VARIANT column; the other columns are carried, except ``wide``, which marks
+    documents to open in place. Result columns: ``path`` (starts with ``$``, array steps are ``*``),
+    ``parent_path``, ``key``, ``is_index``, ``json_type``, and with ``with_values`` also ``size``
+    (members or items), ``scalar`` (text of scalar values) and ``members`` (key names of objects).
+    ``include_root`` adds a row for the document itself, with key ``$`` and an empty parent path.
+    With ``max_depth`` a document that goes deeper raises.
     """
-    keep = [c for c in docs.columns if c != doc]
-    found = prepared(
-        ("flatten", doc, descend_arrays, include_root, with_values, max_depth),
-        lambda: _containers_with_entries(F.col(doc), descend_arrays, include_root, with_values, max_depth),
+    keep = [c for c in docs.columns if c not in (doc, "wide")]
+    wide = F.col("wide") if "wide" in docs.columns and max_depth is None else F.lit(False)
+    info_array = f"array<{_info_type(with_values)}>"
+
+    entered = ["OBJECT", "ARRAY"] if descend_arrays else ["OBJECT"]
+
+    def opened(value, info):
+        """The value if the next level enters it."""
+        return F.when(info.raw_type.isin(*entered), value)
+
+    root = F.array(_described(F.lit(False), F.col(doc), with_values))
+    rows = docs.select(
+        *keep,
+        F.array(F.lit(ROOT)).alias("_path"),
+        root.cast(info_array).alias("_info"),
+        F.lit(0).alias("_from"),
+        F.when(wide, F.col(doc)).alias("_whole"),
+        F.when(~F.coalesce(wide, F.lit(False)), F.col(doc)).alias("_value"),
+    )
+    # The root needs the same gate as every other value.
+    rows = rows.withColumn("_value", opened(F.col("_value"), F.element_at("_info", 1)))
+    carried = [*keep, "_path", "_info", "_from", "_whole"]
+    for level in range(1, (CHAIN_LEVELS if max_depth is None else max_depth) + 1):
+        children = rows.lateralJoin(
+            rows.sparkSession.tvf.variant_explode_outer(F.col("_value").outer()).toDF("_pos", "_key", "_child")
+        ).select(*carried, "_pos", "_key", "_child")
+        reached = F.col("_pos").isNotNull()
+        step = F.coalesce("_key", F.lit("*"))
+        told = _described(F.col("_key").isNull(), F.col("_child"), with_values)
+        rows = children.select(
+            *keep,
+            F.when(reached, F.array_append("_path", step)).otherwise(F.col("_path")).alias("_path"),
+            F.when(reached, F.array_append("_info", told)).otherwise(F.col("_info")).cast(info_array).alias("_info"),
+            F.when(F.col("_pos") > 0, F.lit(level)).otherwise(F.col("_from")).alias("_from"),
+            "_whole",
+            F.when(reached, F.col("_child")).alias("_value"),
+        ).withColumn("_value", opened(F.col("_value"), F.element_at("_info", -1)))
+    return _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth)
+
+
+def _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth) -> DataFrame:
+    """Path rows of the leaves: nodes ``_from`` to the leaf itself, then what is below the leaf."""
+    leaf = F.size("_path") - 1
+    if max_depth is not None:
+        message = F.lit(f"a value is nested deeper than max_depth={max_depth}")
+        deeper = J.has_children(F.col("_value"))
+        failed = F.raise_error(message).cast("array<string>")
+        rows = rows.withColumn("_path", F.when(deeper, failed).otherwise(F.col("_path")))
+        below = F.lit(None).cast(
+            f"array<struct<parent_path:array<string>,key:string,info:{_info_type(with_values)}>>"
+        )
+    else:
+        below = prepared(
+            ("below", descend_arrays, with_values),
+            lambda: F.when(
+                F.coalesce("_whole", "_value").isNotNull(),
+                _opened_in_place(
+                    F.coalesce("_whole", "_value"), F.col("_path"), descend_arrays, with_values
+                ),
+            ),
+        )
+    first = F.col("_from") if include_root else F.greatest("_from", F.lit(1))
+    last = leaf + F.greatest(F.coalesce(F.size("_below"), F.lit(0)), F.lit(0))
+    leaves = rows.select(*keep, "_path", "_info", "_from", below.alias("_below"))
+    numbered = leaves.filter(first <= last).select(
+        *keep, "_path", "_info", "_below", F.explode(F.sequence(first, last)).alias("_n")
+    )
+    deep = F.col("_n") > leaf
+    found = F.get("_below", F.col("_n") - leaf - 1)
+    nodes = numbered.select(
+        *keep,
+        F.when(deep, found.parent_path).otherwise(F.slice("_path", 1, F.col("_n"))).alias("parent_path"),
+        F.when(deep, found.key).otherwise(F.get("_path", F.col("_n"))).alias("key"),
+        F.when(deep, found.info).otherwise(F.get("_info", F.col("_n"))).alias("_i"),
     )
-    opened = docs.select(*keep, F.explode(found).alias("_c"))
-    rows = opened.select(*keep, F.col("_c.parent_path").alias("parent_path"), F.explode("_c.entries").alias("_e"))
     extra = ["size", "scalar", "members"] if with_values else []
-    return rows.select(
+    return nodes.select(
         *keep,
-        F.array_append("parent_path", F.col("_e.key")).alias("path"),
+        F.array_append("parent_path", F.col("key")).alias("path"),
         "parent_path",
-        F.col("_e.key").alias("key"),
-        F.col("_e.is_index").alias("is_index"),
-        J.json_type_name(F.col("_e.raw_type")).alias("json_type"),
-        *[F.col(f"_e.{c}").alias(c) for c in extra],
+        "key",
+        F.col("_i.is_index").alias("is_index"),
+        J.json_type_name(F.col("_i.raw_type")).alias("json_type"),
+        *[F.col(f"_i.{c}").alias(c) for c in extra],
     )
 
 
