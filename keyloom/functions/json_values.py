@@ -26,8 +26,16 @@ def empty(array_type: str) -> Column:
 
 
 def parse(json: Column) -> Column:
-    """JSON text as VARIANT; NULL where the text is not JSON."""
-    return F.try_parse_json(json)
+    """JSON text as VARIANT; NULL where the text is not one JSON value.
+
+    The engine's parser stops after the first value and would accept ``{"a":1} more``. The text is
+    therefore parsed as a member with an end mark behind it, which is only found if the value
+    before it is all there was.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit(',"~end":0}')))
+    checked = F.try_variant_get(wrapped, "$", "struct<v:variant,`~end`:int>")
+    complete = F.filter(F.array(checked), lambda s: s["~end"].isNotNull())
+    return F.get(complete, 0).getField("v")
 
 
 def object_map(v: Column) -> Column:

@@ -80,6 +80,15 @@ def dataset_inventory(schemas: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names and byte lengths of the files in a folder, without reading their content."""
-    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
-    return spark.read.format("binaryFile").load(path).select(name.alias("dataset"), "length")
+    """Names and byte lengths of the files in a folder, without reading their content.
+
+    Scans leave zero-byte files out, so the names come from the file listing that Spark keeps for
+    the folder anyway, and files without a scanned length are empty.
+    """
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("dataset")
+    files = spark.read.format("binaryFile").load(path)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(name)
+    sizes = files.select(name, "length")
+    return listed.join(sizes, "dataset", "left").select(
+        "dataset", F.coalesce("length", F.lit(0)).alias("length")
+    )
