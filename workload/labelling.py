@@ -102,8 +102,8 @@ def label_paths_pattern(spark, sf):
 @query(
     "segment_match_full",
     I.with_docs(I.LINE_DOCS, I.ITEMS_SQL, I.NODES_SQL, _OBSERVED, """
-    patterns AS (SELECT DISTINCT concat('line-', l_returnflag, '.json') AS dataset, ['$', 'part[s+', concat('p', l_suppkey, '.?')] AS path FROM lineitem
-                 UNION ALL SELECT DISTINCT concat('line-', l_returnflag, '.json'), ['$', 'part.', concat('p', l_suppkey, '.?')] FROM lineitem)""",
+    patterns AS (SELECT DISTINCT concat('line-', l_returnflag, '.json') AS dataset, ['$', 'part[s+', concat('p', l_linenumber, '.*')] AS path FROM lineitem
+                 UNION ALL SELECT DISTINCT concat('line-', l_returnflag, '.json'), ['$', 'part.', concat('p', l_linenumber, '.*')] FROM lineitem)""",
     select="""
     SELECT o.dataset, array_to_string(o.path, '/') AS path FROM observed AS o
     SEMI JOIN (SELECT DISTINCT dataset, path[3] AS last FROM patterns WHERE path[2] = 'part.') AS p
@@ -111,10 +111,10 @@ def label_paths_pattern(spark, sf):
       AND regexp_full_match(o.path[3], p.last)"""),
 )
 def segment_match_full(spark, sf):
-    """Patterns from the suppliers, with a step that is no regular expression on half of them."""
+    """Patterns from the line numbers, with a step that is no regular expression on half of them."""
     lines = I.table(spark, sf, "lineitem").select(
         F.concat(F.lit("line-"), "l_returnflag", F.lit(".json")).alias("dataset"),
-        F.concat(F.lit("p"), "l_suppkey", F.lit(".?")).alias("last"),
+        F.concat(F.lit("p"), "l_linenumber", F.lit(".*")).alias("last"),
     ).distinct()
     second = F.explode(F.array(F.lit("part[s+"), F.lit("part."))).alias("second")
     patterns = lines.select("dataset", "last", second).select(
