@@ -1,7 +1,7 @@
 """Time the headline queries: prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS
-(default 3; the median of the runs after one warm-up counts).
+(default 1; the median of the runs after one warm-up counts).
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
