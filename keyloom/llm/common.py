@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes = np.diff(_offsets(batch.column(1)))
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for start, stop in cuts(sizes, chunk_bytes):
                 out = step(ids[start:stop], batch.column(1).slice(start, stop - start).to_pylist())
                 if out is not None and out.num_rows:
@@ -51,11 +52,6 @@ def map_texts(
     return docs.mapInArrow(run, schema)
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
-    return np.concatenate(([0], np.cumsum(lengths)))
-
-
 def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose sizes add up to about ``most``; a larger item is a range of its own."""
     if len(sizes) == 0:
