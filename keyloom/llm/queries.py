@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom import configure
-from keyloom.llm import simhash
+from keyloom.llm import chat, decision_list, hmm, html_blocks, packing, pieces, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def op1(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_hidden_markov_scores")
+def op2(spark, sf_dir):
+    return hmm.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    return decision_list.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+TOP_K_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+  FROM vectors AS q JOIN vectors AS x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op6_exact_top_k", TOP_K_SQL)
+def op6(spark, sf_dir):
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+CHAT_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+         coalesce(floor(turn / 256)::BIGINT, 9007199254740992) AS part FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+segments AS (
+  SELECT s.conv_id, perspective, part, turn, speaker, text, speaker = perspective AS own,
+         concat('<|im_start|>', CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+                                     ELSE concat('user name=', speaker) END, chr(10)) AS head,
+         concat(text, '<|im_end|>') AS body
+  FROM said AS s JOIN speakers AS p ON s.conv_id = p.conv_id),
+placed AS (
+  SELECT *, (sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS stop
+  FROM segments)
+SELECT conv_id, perspective, part, 0 AS sub, count(*) AS n_turns,
+       sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS n_masked,
+       coalesce(string_agg(CASE WHEN own THEN concat(stop - length(body), '-', stop) END, ',' ORDER BY stop), '') AS mask,
+       string_agg(concat(head, body, chr(10)), '' ORDER BY turn NULLS LAST, speaker, text) AS text
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
+@query("op9_chat_perspectives", CHAT_SQL)
+def op9(spark, sf_dir):
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_piece_viterbi")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    return pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
