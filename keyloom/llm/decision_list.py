@@ -18,7 +18,7 @@ WINDOW = 8
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Statistics the rules may test, per word or per character where that makes them independent of a text's length.
-FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "mark_share")
+FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share")
 
 
 @dataclass(frozen=True)
@@ -56,21 +56,13 @@ def text_stats(text: Column) -> Column:
     return let(F.coalesce(text.cast("string"), F.lit("")), _stats_of_text)
 
 
-def _count(text: Column, characters: str) -> Column:
-    """Characters of ``text`` that are in the regular expression class ``characters``."""
-    return F.length(text) - F.length(F.regexp_replace(text, characters, ""))
-
-
 def _stats_of_text(text: Column) -> Column:
     words = F.filter(F.split(text, SPACES), lambda w: w != F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
-    chars = F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     pure = F.struct(
-        words.alias("words"), lines.alias("lines"), chars.alias("chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).alias("symbols"),
-        _count(text, r"[^\p{Lu}]").alias("not_upper"),
-        _count(text, r"\p{Nd}+").alias("digits"),
-        _count(text, r"[\p{P}\p{S}]+").alias("marks"), F.length(text).alias("length"),
+        words.alias("words"), lines.alias("lines"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("symbols"),
+        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).alias("upper"),
     )
     return let(pure, _named_stats)
 
@@ -78,34 +70,40 @@ def _stats_of_text(text: Column) -> Column:
 def _named_stats(p: Column) -> Column:
     n_words = F.size(p["words"]).cast("long")
     each = F.greatest(n_words, F.lit(1)).cast("double")
-    chars = F.greatest(p["chars"], F.lit(1)).cast("double")
     lines = F.greatest(F.size(p["lines"]), F.lit(1)).cast("double")
-    dup_lines = (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long")
     base = F.struct(
-        n_words.alias("n_words"), p["chars"].cast("long").alias("word_chars"), p["symbols"].cast("long").alias("n_symbols"),
-        dup_lines.alias("n_dup_lines"), repeated_words(p["words"]).cast("long").alias("n_repeat_words"),
+        n_words.alias("n_words"),
+        F.aggregate(p["words"], F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        p["symbols"].cast("long").alias("n_symbols"),
+        (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
+        repeated_words(p["words"]).cast("long").alias("n_repeat_words"),
     )
-    distinct = F.size(F.array_distinct(p["words"]))
     return let(base, lambda b: F.struct(
         *[b[c].alias(c) for c in BASE],
-        (p["chars"] / each).alias("mean_word"),
-        (p["symbols"] / each).alias("symbols_per_word"),
-        (dup_lines / lines).alias("dup_line_share"),
+        (b["word_chars"] / each).alias("mean_word"),
+        (b["n_symbols"] / each).alias("symbols_per_word"),
+        (b["n_dup_lines"] / lines).alias("dup_line_share"),
         (b["n_repeat_words"] / each).alias("repeat_share"),
-        (distinct / each).alias("distinct_share"),
-        ((p["length"] - p["not_upper"]) / chars).alias("upper_share"),
-        (p["digits"] / chars).alias("digit_share"),
-        (p["marks"] / chars).alias("mark_share"),
+        (F.size(F.array_distinct(p["words"])) / each).alias("distinct_share"),
+        (p["upper"] / F.greatest(b["word_chars"], F.lit(1)).cast("double")).alias("upper_share"),
     ))
 
 
-def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """How many of the words lie in a window of ``width`` words that is found twice or more."""
-    last = F.size(words) - F.lit(width)
-    hashes = F.when(last < 1, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+def repeated_words(words: Column) -> Column:
+    """How many of the words lie in a window of 8 words that is found twice or more.
+
+    The hash of a window is made of those of its halves, so three passes over the words make the hashes of all.
+    """
+
+    def doubled(step: int):
+        return lambda hashes: F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+
+    singles = F.transform(words, lambda w: F.xxhash64(w))
+    whole = let(let(let(singles, doubled(1)), doubled(2)), doubled(4))
+    hashes = F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(
+        F.slice(whole, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
     )
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, width)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, WINDOW)))
 
 
 def _covered(hashes: Column, width: int) -> Column:
@@ -141,7 +139,7 @@ def learn(
     hash of ``key``), is pruned to the prefix that does best on the other third, and is kept if it covers at least
     ``least`` rows with at least ``precision`` of label 0 on both parts together. Rows that it covers leave, and the
     next rule begins. Each step is one aggregation over all labelled rows, which gives counts per feature, bin and
-    label; thresholds are the ``bins``-quantiles of the features. Rows without a label or statistics take no part.
+    label; thresholds lie midway between neighbouring ``bins``-quantiles of the two labels. Rows without a label or statistics take no part.
     Without rows of both labels there are no rules.
     """
     wide = rows.where("label IN (0, 1) AND stats IS NOT NULL").select(
@@ -149,11 +147,12 @@ def learn(
         (F.pmod(F.xxhash64("key"), F.lit(3)) > 0).alias("grow"),
     )
     wide = materialize(wide, "labelled-stats")
-    shares = [i / bins for i in range(1, bins)]
-    quantiles = wide.agg(*[F.percentile_approx(f, shares, 10000).alias(f) for f in FEATURES]).head()
-    if quantiles[0] is None:
+    shares = [i / bins for i in range(bins + 1)]
+    sides = wide.groupBy("label").agg(*[F.percentile_approx(f, shares, 10000).alias(f) for f in FEATURES]).collect()
+    if len(sides) < 2:
         return []
-    thresholds = {f: sorted({math.nextafter(q, math.inf) for q in quantiles[f]} | set(quantiles[f])) for f in FEATURES}
+    values = {f: sorted({v for side in sides for v in side[f]}) for f in FEATURES}
+    thresholds = {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f, v in values.items()}
     rules: list[Rule] = []
     left = F.lit(True)
     while len(rules) < most_rules:
