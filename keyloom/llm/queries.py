@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom import configure
-from keyloom.llm import chat, decision_list, hmm, html_blocks, packing, pieces, simhash, suffix_array, topk
+from keyloom.llm import chat, decision_list, hmm, html_blocks, packing, paragraphs, pieces, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op4(spark, sf_dir):
     return suffix_array.deduplicated(table(spark, sf_dir, "documents"))
 
 
+@query("op5_paragraph_dedup")
+def op5(spark, sf_dir):
+    return paragraphs.deduplicated(table(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 WITH vectors AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
