@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import components, map_texts, merge_labels, texts, words_of
+from keyloom.llm.jaccard import linked_sets
 from keyloom.session import materialize
 
 SEED = 42
@@ -181,13 +182,111 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The row with the smallest doc_id of every group of near duplicates, with all its columns.
+def _name(shingles: np.ndarray) -> int:
+    """A signed number for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
-    Rows without words are compared like others, so one of them stays. Of rows that share the smallest doc_id one
-    stays. Rows without a doc_id cannot be named and are all kept.
+
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, node, h1, h2): a number for the text's set of shingles, and a SimHash of 128 bits."""
+
+    def step(ids, data):
+        hashes, sizes, nodes = [], [], []
+        for text in data:
+            found = np.array(shingle_hashes(text, width), dtype=np.uint64)
+            hashes.append(found)
+            sizes.append(len(found))
+            nodes.append(_name(np.unique(found)))
+        hashes, sizes = np.concatenate(hashes), np.array(sizes)
+        other = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        other ^= other >> np.uint64(29)
+        columns = [pa.array(ids, pa.int64())]
+        columns += [pa.array(x.view(np.int64)) for x in (majorities(hashes, sizes), majorities(other, sizes))]
+        columns.insert(1, pa.array(nodes, pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "h1", "h2"])
+
+    return map_texts(texts(docs), step, "doc_id long, node long, h1 long, h2 long")
+
+
+def near_nodes(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between nodes(node, h1, h2) that connect all within ``radius`` of 128 bits; see ``linked``.
+
+    Tiles are cut by the population count in steps of ``radius``, so only tiles of the same or the next step meet.
+    """
+    spark = nodes.sparkSession
+    step = ((F.bit_count("h1") + F.bit_count("h2")) / radius).cast("int")
+    nodes = nodes.select("node", "h1", "h2", step.alias("step"))
+    # at most 129 / radius rows
+    counted = nodes.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("blocks")).collect()
+    cells = spark.createDataFrame([(r["step"], 0, r["blocks"]) for r in counted], "hi int, lo int, blocks int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = nodes.withColumnRenamed("step", "hi").join(F.broadcast(cells.drop("lo")), "hi").withColumn("block", block)
+    tiles = materialize(tiles.groupBy("hi", "block").agg(F.collect_list(F.struct("h1", "h2", "node")).alias("values")), "sketch-tiles")
+    first, second = (tiles.select(*[F.col(c).alias(f"{c}{i}") for c in ("hi", "block", "values")]) for i in (1, 2))
+    met = _tile_pairs(cells, 1).where("lo1 = lo2").join(first, ["hi1", "block1"]).join(second, ["hi2", "block2"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                (a1, a2, an), (b1, b2, bn) = (
+                    [v.values.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)] for v in (x, y)
+                )
+                labels = np.arange(len(an) + len(bn))
+                height = max(1, STRIP // max(1, len(bn)))
+                for i in range(0, len(an), height):
+                    apart = np.bitwise_count(a1[i : i + height, None] ^ b1)
+                    apart += np.bitwise_count(a2[i : i + height, None] ^ b2)
+                    found = np.flatnonzero((apart <= radius).ravel())
+                    if len(found):
+                        left, right = np.divmod(found, len(bn))
+                        labels = merge_labels(labels, left + i, right + len(an))
+                both = np.concatenate((an, bn)).view(np.int64)
+                moved = np.flatnonzero(both != both[labels])
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[moved]), pa.array(both[labels[moved]])], ["a", "b"])
+
+    return met.select("values1", "values2").mapInArrow(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, similar: float = 0.8, width: int = 5, radius: int = 32) -> DataFrame:
+    """(doc_id, node, component_id) for every row of ``docs(doc_id, text)``.
+
+    Rows are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``similar`` or more.
+    Candidates are found by 128-bit SimHashes within ``radius`` bits: at a similarity of 0.8 about 19 bits differ (more
+    than 32 in one pair of a thousand), between unrelated texts 64. The shingles of a group of candidates are then compared
+    exactly. Texts without words are equal to each other.
+    """
+    rows = materialize(sketches(docs, width), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    nodes = materialize(nodes, "sketch-nodes")
+    groups = components(near_nodes(nodes, radius), "sketch-groups").withColumnRenamed("component", "key")
+    chosen = nodes.where("least IS NOT NULL").join(groups, "node").select(F.col("least").alias("doc_id"), "node", "key")
+
+    def step(keys, data):
+        rows = []
+        for key, text in zip(keys, data):
+            found = np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+            if _name(found) == key["name"]:  # rows that share a doc_id may have other texts
+                rows.append((key["key"], key["name"], (found >> np.uint64(32)).astype("<u4").tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "name", "items"])
+
+    texts_of = texts(docs).join(chosen, "doc_id").select(F.struct("key", F.col("node").alias("name")).alias("key"), "data")
+    sets = map_texts(texts_of, step, "key long, name long, items binary").dropDuplicates(["key", "name"])
+    found = components(linked_sets(sets, similar), "similar-components")
+    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node")
+
+
+def keep_one(docs: DataFrame, similar: float = 0.8, width: int = 5) -> DataFrame:
+    """The row with the smallest doc_id of every group of similar documents, with all its columns.
+
+    Of the texts without words one stays, of rows that share the smallest doc_id one stays. Rows without a doc_id
+    cannot be named and are all kept.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, radius)
+    found = similar_components(docs.select("doc_id", "text"), similar, width)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
