@@ -18,7 +18,7 @@ from keyloom.session import materialize
 CAPACITY = 4096
 END_ID = 1
 KNOWN_WORDS = 400_000  # words whose ids a task remembers before it starts anew
-RANKED = 50_000  # pieces of one length that one task ranks
+RANKED = 1_000  # pieces of one length that one task ranks
 
 LINE_WORDS = 256  # new words given to the tokenizer as one text
 MARK = "|"  # stands between them; a word with it is a text of its own
@@ -147,18 +147,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     interchangeable: they are ranked (in hashed parts of bounded size, so a length that a third of all items share is
     no single task's work) and their rank says which place of the plan is theirs. Lengths outside 1..capacity raise.
     """
-    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 20))
     sizes = items.groupBy("length").count().collect()
     if any(not 1 <= r["length"] <= capacity for r in sizes):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    parts = max([1, *(-(-r["count"] // RANKED) for r in sizes)])
-    part = F.pmod(spread, F.lit(parts)).cast("int")
-    per_part = items.groupBy("length", part.alias("part")).count()
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = per_part.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = items.withColumn("part", part).withColumn("rank", F.row_number().over(own) - 1)
-    ranked = ranked.join(per_part, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    spark = items.sparkSession
+    parts = spark.createDataFrame([(r["length"], -(-r["count"] // RANKED)) for r in sizes], "length long, _parts int")
+    dealt = items.join(F.broadcast(parts), "length").withColumn(
+        "_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")).cast("int")
+    )
+    counted = dealt.groupBy("length", "_part").count()
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    ranked = dealt.withColumn("_rank", F.row_number().over(own) - 1).join(counted, ["length", "_part"])
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     places = _places(plan({r["length"]: r["count"] for r in sizes}, capacity))
     kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
     types = {f.name: f.dataType.simpleString() for f in items.schema.fields}
@@ -168,14 +170,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         key, first, base, copies, offset = places
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(key, (length.astype(np.int64) << 48) + rank, side="right") - 1
             bins, slot = np.divmod(rank - first[at], copies[at])
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(base[at] + bins), pa.array(offset[at] + slot * length)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "rank").mapInArrow(place, schema)
+    return ranked.select(*kept, "_rank").mapInArrow(place, schema)
 
 
 def _places(bins: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:

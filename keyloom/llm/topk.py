@@ -54,7 +54,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k
     """
     qf, xf = q.astype(float), x.astype(float)
     slack = 1e-9 * (np.abs(qf).max(initial=0) + 1) * (np.abs(xf).max(initial=0) + 1) * q.shape[1] + 1e-3
-    levels = [bounds(qf, xf, parts) for parts in SEGMENTS if parts < 2 * q.shape[1]]
+    levels = [bounds(qf, xf, parts) for parts in SEGMENTS]
     out = []
     height = max(1, STRIP // max(1, len(x)))
     for top in range(0, len(q), height):
