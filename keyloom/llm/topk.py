@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,13 +18,19 @@ STRIP = 1 << 21  # pairs held by one numpy step
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(256 * x) of each component; rows with a NULL or non-finite component are left out."""
+    """(id, v): floor(256 * x) of each component.
+
+    Rows without an id, NULL and empty vectors, and vectors with a NULL or non-finite component are left out. A component
+    of 2**20 and more raises, as products of such would not be exact in 64 bits.
+    """
     value = F.col("v")
     wide = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**40)))
-    return wide.where(value.isNotNull() & (F.size(value) > 0)).where(finite).select(
-        "id", F.transform(value, lambda x: F.floor(x * 256).cast("long")).alias("v")
+    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    fits = lambda x: F.when(F.abs(x) < F.lit(2.0**20), F.floor(x * 256)).otherwise(
+        F.raise_error(F.concat(F.lit("component too large: "), x.cast("string"))).cast("long")
     )
+    wide = wide.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(finite)
+    return wide.select("id", F.transform(value, lambda x: fits(x).cast("long")).alias("v"))
 
 
 def _segments(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -292,11 +292,11 @@ def test_top_k(spark):
     rng = random.Random(4)
     vectors = [(i, [rng.gauss(0, 0.3) for _ in range(12)]) for i in range(160)]
     vectors += [(160, vectors[0][1]), (161, vectors[0][1]), (200, None), (201, [None] * 12), (202, [math.inf] * 12), (203, [])]
-    vectors += [(250, [1.0, 2.0]), (251, [0.5, -1.0]), (300, [float("nan")] * 12), (0, [0.1] * 12)]
+    vectors += [(250, [1.0, 2.0]), (251, [0.5, -1.0]), (300, [float("nan")] * 12), (0, [0.1] * 12), (None, [0.2] * 12)]
     table = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string")
     found = topk.integers(table, "vec_id", "embedding")
     got = sorted(tuple(r) for r in topk.top_k(found.where("id % 50 = 0"), found, 5).collect())
-    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v)]
+    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     best = defaultdict(list)
     for q, v in clean:
         if q % 50 == 0:
