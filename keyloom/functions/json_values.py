@@ -29,12 +29,17 @@ def parse(json: Column) -> Column:
     """JSON text as VARIANT; NULL where the text is not one JSON value.
 
     The engine's parser stops after the first value and would accept ``{"a":1} more``. The text is
-    therefore parsed as a member with an end mark behind it, which is only found if the value
-    before it is all there was.
+    therefore parsed as the first item of an array whose second is the digest of the text. Only a
+    text that is exactly one value leaves the digest in second place: text that closes the array
+    hides it, further items push it back, and no text can contain its own digest.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit(',"~end":0}')))
-    checked = F.try_variant_get(wrapped, "$", "struct<v:variant,`~end`:int>")
-    complete = F.filter(F.array(checked), lambda s: s["~end"].isNotNull())
+    digest = F.md5(json)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), json, F.lit(',"'), digest, F.lit('"]')))
+    first_two = F.struct(
+        F.try_variant_get(wrapped, "$[0]", "variant").alias("v"),
+        F.try_variant_get(wrapped, "$[1]", "string").alias("end"),
+    )
+    complete = F.filter(F.array(first_two), lambda s: s["end"] == digest)
     return F.get(complete, 0).getField("v")
 
 

@@ -52,18 +52,22 @@ def _nodes(x: Column, expand_refs: bool) -> Column:
                 F.struct(F.get(hop, 0).x.alias("x"), F.array_append(trail, name).alias("trail")),
             ).otherwise(F.struct(value.alias("x"), trail.alias("trail")))
 
+        def followed(value, trail):
+            """What a chain of references ends at: each target is passed at most once."""
+            if not expand_refs:
+                return resolved(value, trail)
+            start = F.struct(value.alias("x"), trail.alias("trail"))
+            chain = F.aggregate(F.sequence(F.lit(1), F.size(targets)), start, lambda at, _: resolved(at.x, at.trail))
+            return F.when(ref_of(value).isNull() | (F.size(targets) == 0), start).otherwise(chain)
+
         def node(key, value, place, trail):
-            # A target may itself be a reference: take a second hop as well.
             return let(
-                resolved(value, trail),
-                lambda first: let(
-                    resolved(first.x, first.trail),
-                    lambda r: F.struct(
-                        key.alias("key"),
-                        r.x.alias("x"),
-                        _place_below(place, key, r.x).alias("place"),
-                        r.trail.alias("trail"),
-                    ),
+                followed(value, trail),
+                lambda r: F.struct(
+                    key.alias("key"),
+                    r.x.alias("x"),
+                    _place_below(place, key, r.x).alias("place"),
+                    r.trail.alias("trail"),
                 ),
             )
 
@@ -72,7 +76,8 @@ def _nodes(x: Column, expand_refs: bool) -> Column:
             if not expand_refs:
                 return own
             # Only the root keeps its siblings next to a reference: it wins over the target.
-            target = F.get(F.filter(targets, lambda t: t.path == ref_of(s.x)), 0).x
+            named = F.get(F.filter(targets, lambda t: t.path == ref_of(s.x)), 0).x
+            target = F.when(named.isNotNull(), followed(named, s.trail).x)
             is_root = s.place == "root"
             siblings = F.filter(own, lambda e: e.key != "$ref")
             names = F.transform(siblings, lambda e: e.key)
@@ -159,7 +164,9 @@ def rewritten(x: Column, expand_refs: bool = False, close: bool = False) -> Colu
         return F.aggregate(F.reverse(nodes), start, add, lambda acc: acc.texts[0])
 
     def is_ref(n):
-        return (n.place != "root") & ref_of(n.x).isNotNull()
+        # The root's own reference is gone from its members where its target was found.
+        left = (n.place != "root") | F.exists(n.kids, lambda k: k.key == "$ref")
+        return left & ref_of(n.x).isNotNull()
 
     return let(
         _nodes(x, expand_refs),

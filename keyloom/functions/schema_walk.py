@@ -4,7 +4,8 @@ A walk is a pair of functions: which sub-schemas a schema leads to and by which
 path, and what is reported at a schema. References are followed in place: the targets named
 anywhere in a schema are looked up once, and a ``$ref`` then continues at its target without
 leaving the row. A schema comes in as one row, so everything reported about it is bounded by it;
-only recursive references could go on for ever, and ``max_path_length`` ends those.
+only recursive references could go on for ever, and ``max_path_length`` ends those. Schemas that do
+not refer back to themselves are followed to their end, however deep.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from keyloom.functions import json_values as J
 from keyloom.functions.descend import containers, descend, opener_count
 
-# Longest data path a walk follows unless told otherwise.
+# Longest data path a walk follows through a recursive reference unless told otherwise.
 MAX_PATH_LENGTH = 32
 
 TOKEN = "struct<kind:string,token:string,names:array<string>,patterns:array<string>>"
-STATE = f"struct<path:array<{TOKEN}>,x:variant,hops:int,closable:boolean>"
+STATE = f"struct<path:array<{TOKEN}>,x:variant,hops:int,closable:boolean,trail:array<string>,recursive:boolean>"
 
 Walk = Callable[[Column], Column]
 
@@ -83,6 +84,8 @@ def step(s: Column, tok: Column | None, x: Column, closable: Column | None = Non
         x.alias("x"),
         (s.hops if tok is None else F.lit(0)).alias("hops"),
         (s.closable if closable is None else closable).alias("closable"),
+        s.trail.alias("trail"),
+        s.recursive.alias("recursive"),
     )
 
 
@@ -118,16 +121,21 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
         x.alias("x"),
         F.lit(0).alias("hops"),
         F.lit(True).alias("closable"),
+        J.empty("array<string>").alias("trail"),
+        F.lit(False).alias("recursive"),
     )
 
     def body(targets):
         def follow(s):
             hop = F.filter(targets, lambda t: t.path == ref_of(s.x))
+            name = F.array_join(ref_of(s.x), "/")
             return F.transform(hop, lambda t: F.struct(
                 s.path.alias("path"),
                 t.x.alias("x"),
                 (s.hops + 1).alias("hops"),
                 s.closable.alias("closable"),
+                F.array_union(s.trail, F.array(name)).alias("trail"),
+                (s.recursive | F.array_contains(s.trail, name)).alias("recursive"),
             ))
 
         def next_states(s):
@@ -135,12 +143,12 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
             found = F.when(has(s.x, "$ref"), follow(s)).otherwise(children(s))
             # A chain of references longer than the number of targets is a loop without data steps.
             kept = F.filter(found, lambda n: J.is_object(n.x)
-                            & (F.size(n.path) <= max_path_length)
+                            & (~n.recursive | (F.size(n.path) <= max_path_length))
                             & (n.hops <= F.size(targets)))
             return F.coalesce(kept.cast(f"array<{STATE}>"), none)
 
         levels = F.when(F.size(targets) == 0, opener_count(x) + 1).otherwise(
-            opener_count(x) * F.lit(max_path_length) + F.size(targets)
+            opener_count(x) * F.greatest(F.lit(max_path_length), F.size(targets) + 1) + F.size(targets)
         )
         return descend(F.array(root), next_states, STATE, levels)
 

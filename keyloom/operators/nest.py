@@ -8,11 +8,13 @@ a distributed sort, and measuring it a sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
+from keyloom.operators.joins import size_checked_join
 from keyloom.operators.profile import without_root
+from keyloom.session import materialize
 
 NODE = ["dataset", "path"]
 
@@ -69,22 +71,16 @@ def _inside_dynamic(nodes: DataFrame, dynamic: DataFrame) -> DataFrame:
         lambda n: F.slice("path", 1, n),
     )
     marks = dynamic.select("dataset", F.col("path").alias("prefix")).distinct()
-    return (
-        nodes.select(*NODE, F.explode(above).alias("prefix"))
-        .join(marks, ["dataset", "prefix"], "left_semi")
-        .select(*NODE)
-        .distinct()
-    )
+    marks = materialize(marks, "dynamic-marks")
+    below = nodes.select(*NODE, F.explode(above).alias("prefix"))
+    return size_checked_join(below, marks, ["dataset", "prefix"], "left_semi").select(*NODE).distinct()
 
 
 def type_union(keys: DataFrame, dynamic: DataFrame) -> DataFrame:
     """Sorted union of the types found under each dynamic path: (dataset, path, additional)."""
-    marks = dynamic.select("dataset", F.col("path").alias("parent_path")).distinct()
-    return (
-        keys.join(marks, ["dataset", "parent_path"], "left_semi")
-        .groupBy("dataset", F.col("parent_path").alias("path"))
-        .agg(J.types_of_mask(F.bit_or("type_mask")).alias("additional"))
-    )
+    marks = dynamic.select("dataset", "path").distinct()
+    unions = keys.groupBy("dataset", F.col("parent_path").alias("path")).agg(F.bit_or("type_mask").alias("_mask"))
+    return unions.join(marks, NODE, "left_semi").select(*NODE, J.types_of_mask(F.col("_mask")).alias("additional"))
 
 
 def nest_schema(keys: DataFrame, dynamic: DataFrame | None = None, keep_keys: bool = False) -> DataFrame:
@@ -252,16 +248,29 @@ def schema_kb(lines: DataFrame) -> DataFrame:
 
 
 def schema_text(lines: DataFrame, max_bytes: int = 16 * 1024 * 1024) -> DataFrame:
-    """Schema documents as one text each: (dataset, schema_json).
+    """Schema documents as text: (dataset, part, schema_json).
 
-    Only documents up to ``max_bytes`` are put into one row, and are chosen by their measured size;
-    larger ones stay available as lines (:func:`write_schema_lines`).
+    A document up to ``max_bytes`` is one row, part 0. A larger one comes in numbered parts of
+    about that size, cut between lines; put together by line feeds they are the document.
     """
-    small = schema_kb(lines).filter(F.col("bytes") <= max_bytes).select("dataset")
-    parts = F.array_sort(F.collect_list(F.struct("position", "number", "line")))
-    return lines.join(small, "dataset", "left_semi").groupBy("dataset").agg(
-        F.array_join(F.transform(parts, lambda p: p.line), "\n").alias("schema_json")
+    sizes = materialize(schema_kb(lines).select("dataset", "bytes"), "schema-sizes")
+    large = sizes.filter(F.col("bytes") > max_bytes)
+    joined = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "number", "line"))), lambda p: p.line), "\n"
+    ).alias("schema_json")
+    small = lines.join(large, "dataset", "left_anti").groupBy("dataset").agg(joined)
+    whole = small.select("dataset", F.lit(0).alias("part"), "schema_json")
+    total = large.agg(F.sum("bytes")).first()[0]
+    if not total:
+        return whole
+    ranges = -(-int(total) // max_bytes)
+    dealt = lines.join(large.select("dataset"), "dataset", "left_semi").repartitionByRange(
+        ranges, "dataset", "position", "number"
     )
+    dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "schema-ranges")
+    parts = dealt.groupBy("dataset", "_range").agg(joined)
+    in_order = F.row_number().over(Window.partitionBy("dataset").orderBy("_range")) - 1
+    return whole.unionByName(parts.select("dataset", in_order.alias("part"), "schema_json"))
 
 
 def schema_sizes(original: DataFrame, abstracted: DataFrame) -> DataFrame:

@@ -14,8 +14,6 @@ from keyloom.functions import json_values as J
 from keyloom.operators.flatten import object_members
 from keyloom.operators.joins import size_checked_join
 
-# Fixed value: distinct subkeys reported per path.
-SUBKEY_CAP = 1000
 PATH = ["dataset", "parent_path"]
 
 
@@ -145,25 +143,44 @@ def _described(grouped: DataFrame) -> DataFrame:
     )
 
 
-def distinct_subkeys(keys: DataFrame, cap: int = SUBKEY_CAP, buckets: int = 64) -> DataFrame:
-    """Up to ``cap`` subkeys per path, first by name, as a sorted array.
+def distinct_subkeys(
+    keys: DataFrame, cap: int | None = None, keys_per_row: int = 10_000, buckets: int = 64
+) -> DataFrame:
+    """Subkeys per path as sorted arrays: dataset, path, part, distinct_subkeys.
 
-    The cap is taken within hashed buckets of a path first, so that no task ever ranks all keys of
-    one path; the final ranking sees at most ``cap * buckets`` of them.
+    A path with up to about ``keys_per_row`` keys is one row, part 0; the keys of a larger one are
+    spread by hash over numbered parts. With ``cap`` only that many keys per path, first by name,
+    are reported, in one part; it is taken within hashed buckets of a path first, so that no task
+    ever ranks all keys of one path.
     """
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    in_bucket = Window.partitionBy(*PATH, "_bucket").orderBy("key")
-    in_path = Window.partitionBy(*PATH).orderBy("key")
+    named = without_root(keys).select(*PATH, "key")
+    if cap is not None:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+        in_bucket = Window.partitionBy(*PATH, "_bucket").orderBy("key")
+        in_path = Window.partitionBy(*PATH).orderBy("key")
+        named = (
+            named.withColumn("_bucket", bucket)
+            .withColumn("_rank", F.row_number().over(in_bucket))
+            .filter(F.col("_rank") <= cap)
+            .withColumn("_rank", F.row_number().over(in_path))
+            .filter(F.col("_rank") <= cap)
+            .select(*PATH, "key", F.lit(0).alias("part"))
+        )
+    else:
+        named = _in_parts(named, parent_frequency(keys), keys_per_row).select(*PATH, "key", "part")
+    return named.groupBy(*PATH, "part").agg(
+        F.array_sort(F.collect_list("key")).alias("distinct_subkeys")
+    ).withColumnRenamed("parent_path", "path")
+
+
+def _in_parts(rows: DataFrame, counts: DataFrame, keys_per_row: int) -> DataFrame:
+    """Rows of keys with their path's ``counts`` and a part by the key's hash, dealt out by part, so
+    that a path with very many keys is collected by many tasks."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("num_nested_keys") / F.lit(keys_per_row)))
     return (
-        without_root(keys)
-        .select(*PATH, "key", bucket.alias("_bucket"))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("_rank") <= cap)
-        .withColumn("_rank", F.row_number().over(in_path))
-        .filter(F.col("_rank") <= cap)
-        .groupBy(*PATH)
-        .agg(F.array_sort(F.collect_list("key")).alias("distinct_subkeys"))
-        .withColumnRenamed("parent_path", "path")
+        rows.join(counts, PATH)
+        .withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+        .repartition(*PATH, "part")
     )
 
 
@@ -173,12 +190,8 @@ def packed_properties(keys: DataFrame, keys_per_row: int = 10_000) -> DataFrame:
     A path with up to about ``keys_per_row`` keys is one row (part 0). Beyond that its keys are
     spread by hash over as many parts as needed: nothing is dropped and no row is unbounded.
     """
-    counts = parent_frequency(keys)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("num_nested_keys") / F.lit(keys_per_row)))
     return (
-        without_root(keys)
-        .join(counts, PATH)
-        .withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+        _in_parts(without_root(keys), parent_frequency(keys), keys_per_row)
         .groupBy(*PATH, "part")
         .agg(
             F.map_from_entries(

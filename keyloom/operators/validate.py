@@ -28,7 +28,7 @@ from keyloom.functions.schema_walk import (
     token,
     walk,
 )
-from keyloom.functions.segments import java_pattern
+from keyloom.functions.segments import engine_patterns, search
 from keyloom.operators.flatten import flatten_json
 from keyloom.operators.joins import BROADCAST_BYTES, measured_bytes, sized_join
 from keyloom.session import materialize, prepared
@@ -151,7 +151,35 @@ def schema_constraints(schemas: DataFrame, max_path_length: int = MAX_PATH_LENGT
 
 
 def _search(text: Column, pattern: Column) -> Column:
-    return F.regexp_like(text, java_pattern(pattern))
+    return search(text, pattern)
+
+
+def _runnable(constraints: DataFrame) -> DataFrame:
+    """Constraints with patterns the engine can run; those with others become unchecked."""
+    steps = F.transform("path", lambda t: F.when(t.kind == "regex", t.token))
+    around = F.flatten(F.transform("path", lambda t: F.coalesce(t.patterns, J.empty("array<string>"))))
+    written = constraints.withColumn("_steps", engine_patterns(steps)).withColumn("_own", engine_patterns("patterns"))
+    written = written.withColumn("_around", engine_patterns(around))
+    step_lost = F.exists(
+        F.zip_with("path", "_steps", lambda t, p: (t.kind == "regex") & p.isNull()), lambda bad: bad
+    )
+    lost = step_lost | F.exists("_own", lambda p: p.isNull()) | F.exists("_around", lambda p: p.isNull())
+    lost = F.coalesce(lost, F.lit(False))
+    before = lambda i: F.size(F.flatten(F.transform(
+        F.slice("path", 1, i), lambda t: F.coalesce(t.patterns, J.empty("array<string>"))
+    )))
+    path = F.transform("path", lambda t, i: F.struct(
+        F.when(lost & (t.kind == "regex"), F.lit("any")).otherwise(t.kind).alias("kind"),
+        F.coalesce(F.get("_steps", i), t.token).alias("token"),
+        t.names.alias("names"),
+        F.when(lost | t.patterns.isNull(), J.empty("array<string>")).otherwise(
+            F.slice("_around", before(i) + 1, F.size(t.patterns))
+        ).alias("patterns"),
+    ))
+    keyword = F.when(lost & ~F.startswith("keyword", F.lit("unchecked:")), F.concat(F.lit("unchecked:"), "keyword"))
+    return written.withColumn("path", path).withColumn("keyword", F.coalesce(keyword, "keyword")).withColumn(
+        "patterns", F.when(~lost, F.col("_own"))
+    ).drop("_steps", "_own", "_around")
 
 
 def _step_fits(p: Column, t: Column) -> Column:
@@ -215,7 +243,7 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
     checked. Text that is not JSON is one violation with keyword ``parse``.
     """
     parsed = docs.select("dataset", "doc_id", J.parse(F.col(json_col)).alias("doc"))
-    constraints = schema_constraints(schemas).select(
+    constraints = _runnable(schema_constraints(schemas)).select(
         "*",
         F.transform("path", lambda t: t.kind.isin("any", "regex")).alias("mask"),
         F.transform("path", lambda t: F.when(t.kind.isin("any", "regex"), "").otherwise(t.token)).alias("fixed"),

@@ -42,18 +42,6 @@ def documents_from(df: DataFrame, dataset: Column, doc_id: Column, json: Column)
     return df.select(dataset.alias("dataset"), doc_id.alias("doc_id"), json.alias("json"))
 
 
-def spread_small_input(df: DataFrame, task_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Spread the rows of an input that is too small to give every core a split.
-
-    Opening documents costs far more than reading them, and one row group, gzip file or small file
-    is one task. Inputs large enough to fill the cluster at ``task_bytes`` a task are returned as
-    they are: nothing is shuffled at scale. The size is the optimizer's estimate.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * task_bytes else df
-
-
 def is_bad_record(json: Column) -> Column:
     """True for text that is not JSON."""
     return J.parse(json).isNull()

@@ -94,8 +94,11 @@ def test_json_types(spark):
 def test_subkey_cap_and_packed_parts_keep_every_key(spark):
     docs = document_rows(spark, [{"m": {f"k{i:04d}": 1 for i in range(1200)}}])
     keys = materialize(profile.key_frequency(flatten.flatten_json(flatten.document_items(docs))), "keys")
-    capped = {"/".join(r.path): r.distinct_subkeys for r in profile.distinct_subkeys(keys).collect()}
+    capped = {"/".join(r.path): r.distinct_subkeys for r in profile.distinct_subkeys(keys, cap=1000).collect()}
     assert capped["$/m"] == [f"k{i:04d}" for i in range(1000)]
+    named = profile.distinct_subkeys(keys, keys_per_row=500).filter(F.size("path") == 2).collect()
+    assert len(named) == 3
+    assert sorted(k for p in named for k in p.distinct_subkeys) == [f"k{i:04d}" for i in range(1200)]
     parts = profile.packed_properties(keys, keys_per_row=500).filter(F.size("path") == 2).collect()
     assert len(parts) == 3
     assert sorted(k for p in parts for k in p.properties) == [f"k{i:04d}" for i in range(1200)]

@@ -164,8 +164,7 @@ def invalid_count_lines(spark, sf):
 
 def _curated(spark, sf):
     """Event schemas plus one schema per region that has no documents, and one that is not JSON."""
-    docs = I.derive(spark, sf, I.EVENT_DOCS).filter("json IS NOT NULL AND try_parse_json(json) IS NOT NULL")
-    docs = docs.filter(F.substring("json", 1, 1) == "{")
+    docs = I.derive(spark, sf, I.EVENT_DOCS)
     events = I.derive(spark, sf, I.EVENT_SCHEMAS).select(
         "dataset",
         F.when(F.col("dataset") == "event-error.json", "{").otherwise(F.col("schema_json")).alias("schema_json"),
@@ -175,7 +174,7 @@ def _curated(spark, sf):
     )
     loaded = F.try_parse_json("schema_json").isNotNull().alias("loaded")
     schemas = events.unionByName(regions).select("dataset", "schema_json", loaded)
-    sizes = docs.groupBy("dataset").agg(F.count(F.lit(1)).alias("length"))
+    sizes = docs.groupBy("dataset").agg(F.sum(F.octet_length("json").cast("bigint") + 1).alias("length"))
     from keyloom.sources.schemas import dataset_inventory
 
     return curation.curate(docs, schemas, dataset_inventory(schemas, sizes))

@@ -224,7 +224,7 @@ def name_split_customers(spark, sf):
     plan AS (SELECT min(n) AS small, (floor(max(n) * 0.5) - min(n))::BIGINT AS extra, arg_min(label, n) AS minority FROM sizes),
     ranked AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY md5(concat('101|', doc_id)), doc_id) AS r
                FROM labels WHERE toxic = (SELECT minority FROM plan)),
-    draws AS (SELECT 1 + ('0x' || substr(md5(concat('101|', d)), 1, 8))::BIGINT % (SELECT small FROM plan) AS r
+    draws AS (SELECT 1 + ('0x' || substr(md5(concat('101|', d)), 1, 15))::BIGINT % (SELECT small FROM plan) AS r
               FROM (SELECT unnest(range(1, greatest((SELECT extra FROM plan), 0) + 1)) AS d) AS x)
     SELECT doc_id, toxic, 0 AS copy FROM labels
     UNION ALL

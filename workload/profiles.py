@@ -132,13 +132,28 @@ def jxplain_profile_orders(spark, sf):
     WHERE r <= 1000 GROUP BY 1, 2"""),
 )
 def distinct_subkeys_lines(spark, sf):
-    rows = profile.distinct_subkeys(lazy_keys(spark, sf, I.LINE_DOCS))
+    rows = profile.distinct_subkeys(lazy_keys(spark, sf, I.LINE_DOCS), cap=1000)
     return rows.select(
         "dataset", path_column(), F.size("distinct_subkeys").cast("bigint").alias("kept"),
         F.array_join("distinct_subkeys", ",").alias("subkeys"),
     )
 
 
+@query(
+    "all_subkeys_lines",
+    I.with_docs(I.LINE_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, select="""
+    SELECT dataset, path, count(*) AS keys, md5(array_to_string(list(key ORDER BY key), ',')) AS digest
+    FROM keys GROUP BY 1, 2"""),
+)
+def all_subkeys_lines(spark, sf):
+    """Parts of 100 keys, put together again."""
+    parts = profile.distinct_subkeys(keys_of(spark, sf, I.LINE_DOCS), keys_per_row=100)
+    names = F.array_sort(F.flatten(F.collect_list("distinct_subkeys"))).alias("names")
+    return parts.groupBy("dataset", path_column()).agg(names).select(
+        "dataset", "path", F.size("names").cast("bigint").alias("keys"), F.md5(F.array_join("names", ",")).alias("digest")
+    )
+
+
 @query(
     "packed_properties_orders",
     I.with_docs(I.ORDER_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, select="""
