@@ -19,6 +19,7 @@ from keyloom.llm.common import map_texts, texts
 from keyloom.session import materialize
 
 NO_ID = np.iinfo(np.int64).max  # stands for a NULL id, which is larger than all others
+LEVEL = 5  # of compression: chunks are written once and shuffled twice
 BUCKET_KEYS = 3 << 20  # keys that one task compares
 
 
@@ -35,8 +36,7 @@ def written(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
     def step(ids, data):
         numbers = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
         sizes = np.array([len(t) for t in data], dtype=np.int64)
-        packed = pa.compress(b"".join(data), codec="zstd", asbytes=True)
-        columns = [pa.array([c], pa.binary()) for c in (numbers.tobytes(), sizes.tobytes(), packed)]
+        columns = [pa.array([c], pa.binary()) for c in (numbers.tobytes(), sizes.tobytes(), packed(b"".join(data)))]
         return pa.RecordBatch.from_arrays([*columns, pa.array([int(sizes.sum())])], ["ids", "sizes", "data", "bytes"])
 
     rows = map_texts(texts(docs), step, "ids binary, sizes binary, data binary, bytes long")
@@ -47,8 +47,15 @@ def written(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
 def opened(ids: bytes, sizes: bytes, data: bytes) -> Chunk:
     lengths = np.frombuffer(sizes, dtype=np.int64)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    whole = pa.decompress(data, decompressed_size=int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b""
-    return Chunk(np.frombuffer(ids, dtype=np.int64), offsets, whole)
+    return Chunk(np.frombuffer(ids, dtype=np.int64), offsets, unpacked(data, int(offsets[-1])))
+
+
+def packed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True) if data else b""
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, decompressed_size=size, asbytes=True) if size else b""
 
 
 def over_chunks(rows: DataFrame, step: Callable[..., Iterator[pa.RecordBatch]], schema: str, extra: str | None = None) -> DataFrame:
