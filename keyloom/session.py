@@ -34,13 +34,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a temporary folder; on a
-    cluster a machine-local folder would lose data with its machine.
+    Only a session in one process (``local`` or ``local[n]``) without the setting gets a temporary
+    folder; on a cluster a machine-local folder would lose data with its machine.
     """
     folder = spark.conf.get(SHARED_DIR_KEY, None) or spark.sparkContext.getConf().get(SHARED_DIR_KEY)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="keyloom-")
     atexit.register(shutil.rmtree, folder, True)
@@ -48,14 +49,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_dir(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application has written with :func:`materialize`.
+
+    For the end of a job: results that were not written elsewhere still read them.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of what was written.
 
     Cuts lineage without tying the data to executors, so that a result used by
     several later plans costs one pass over the input and survives lost executors.
+    All tables of an application lie in one folder; :func:`release` removes it.
     """
     spark = df.sparkSession
-    target = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
