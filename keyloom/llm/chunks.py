@@ -7,6 +7,7 @@ few rows; a bucket's task sees each key at most twice per chunk, however often a
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import map_texts, texts
-from keyloom.session import materialize
+from keyloom.session import work_dir
 
 NO_ID = np.iinfo(np.int64).max  # stands for a NULL id, which is larger than all others
 LEVEL = 5  # of compression: chunks are written once and shuffled twice
@@ -31,7 +32,10 @@ class Chunk:
 
 
 def written(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Rows (chunk, ids, sizes, data) of all texts of ``docs(doc_id, text)``, and their bytes in total."""
+    """Rows (chunk, ids, sizes, data) of all texts of ``docs(doc_id, text)``, and their bytes in total.
+
+    They are written once in buckets of ``chunk``, so that joins on it, of which several follow, do not shuffle texts.
+    """
 
     def step(ids, data):
         numbers = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
@@ -40,7 +44,12 @@ def written(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
         return pa.RecordBatch.from_arrays([*columns, pa.array([int(sizes.sum())])], ["ids", "sizes", "data", "bytes"])
 
     rows = map_texts(texts(docs), step, "ids binary, sizes binary, data binary, bytes long")
-    rows = materialize(rows.withColumn("chunk", F.monotonically_increasing_id()), name)
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    dealt = rows.withColumn("chunk", F.monotonically_increasing_id()).repartition(n, "chunk")
+    dealt.write.bucketBy(n, "chunk").option("path", f"{work_dir(spark)}/{table}").saveAsTable(table)
+    rows = spark.table(table)
     return rows, int(rows.agg(F.sum("bytes")).head()[0] or 0)
 
 
