@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import map_texts, texts
 
 SPACE = "▁"
-KNOWN_WORDS = 200_000  # words whose pieces a task remembers before it starts anew
+KNOWN_WORDS = 400_000  # words whose pieces a task remembers before it starts anew
 UNKNOWN_PENALTY = 10.0  # below the lowest score, for a character that no piece covers
 
 _models: dict[str, "Model"] = {}
@@ -35,7 +35,7 @@ class Model:
     unknown: int
     unknown_score: float
     texts: list[bytes]  # what each piece decodes to
-    by_word: bool  # no piece continues after a space that follows other characters
+    by_word: bool  # no piece continues after a space that follows other characters, or has a line end
     known: dict[str, tuple[bytes, int, float, int]] = field(default_factory=dict)
 
 
@@ -55,7 +55,7 @@ def load(path: str) -> Model:
         by_byte = {names[i]: i for i in range(n) if p.is_byte(i)}
         byte_ids = [by_byte[f"<0x{b:02X}>"] for b in range(256)] if len(by_byte) == 256 else None
         worst = min((scores[i] for i in plain), default=0.0)
-        by_word = not any(SPACE in names[i].lstrip(SPACE) for i in plain)
+        by_word = not any(SPACE in names[i].lstrip(SPACE) or "\n" in names[i] for i in plain)
         out = [b"" if p.is_control(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         out[p.unk_id()] = " \u2047 ".encode()
         for byte, i in enumerate(byte_ids or ()):
@@ -71,28 +71,24 @@ def viterbi(model: Model, text: str) -> tuple[list[tuple[int, int, int]], float]
     position from the longest on; a character that ends no piece reaching back to a scored position is unknown.
     """
     n = len(text)
-    best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
+    best, start, via = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     done = 0  # positions scored so far
     unknown = model.unknown_score
-
-    def fill(upto: int) -> None:
-        for e in range(done + 1, upto + 1):
-            best[e], back[e] = best[e - 1] + unknown, (e - 1, -1)
-
     for last, (length, score, piece) in model.automaton.iter(text):
         end = last + 1
-        if end > done:
-            fill(end)
-            done = end
+        while done < end:
+            best[done + 1], start[done + 1] = best[done] + unknown, done
+            done += 1
         value = best[end - length] + score
         if value > best[end]:
-            best[end], back[end] = value, (end - length, piece)
-    fill(n)
+            best[end], start[end], via[end] = value, end - length, piece
+    while done < n:
+        best[done + 1], start[done + 1] = best[done] + unknown, done
+        done += 1
     path, end = [], n
     while end:
-        start, piece = back[end]
-        path.append((piece, start, end))
-        end = start
+        path.append((via[end], start[end], end))
+        end = start[end]
     return path[::-1], best[n]
 
 
@@ -117,7 +113,14 @@ def _ids(model: Model, text: str) -> tuple[bytes, int, float, int]:
 
 
 def _words(text: str) -> list[str]:
-    """Runs of spaces with what follows each, from a text in which SPACE stands for a space."""
+    """Line ends, and runs of spaces with what follows each, from a text in which SPACE stands for a space."""
+    out: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        out += ["\n"] * (i > 0) + _words_of_line(line)
+    return out
+
+
+def _words_of_line(text: str) -> list[str]:
     parts = text.split(SPACE)
     out, spaces = [parts[0]] if parts[0] else [], 0
     for part in parts[1:]:
