@@ -14,7 +14,8 @@ from keyloom.session import materialize
 QUERY_BLOCK = 1024  # queries that a task compares at once
 VECTOR_BLOCK = 8192  # vectors that a task compares them with
 SEGMENTS = (4, 8, 16)  # coarse to fine
-STRIP = 1 << 21  # pairs held by one numpy step
+STRIP = 1 << 20  # pairs whose coarse bounds one numpy step holds
+PAIRS = 1 << 15  # pairs whose vectors it holds
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -54,6 +55,12 @@ def bounds(q: np.ndarray, x: np.ndarray, parts: int) -> tuple[np.ndarray, np.nda
     return np.hstack((qm * np.sqrt(n), qs)), np.hstack((xm * np.sqrt(n), xs))
 
 
+def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``a[i]`` and ``b[j]``."""
+    parts = [np.einsum("ij,ij->i", a[i[s : s + PAIRS]], b[j[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=a.dtype)
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query, id, score) of the best ``k`` other rows of ``x`` for each query, and all ties with the last of them.
 
@@ -75,11 +82,11 @@ def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k
         least = np.where(np.isneginf(np.take_along_axis(bound, first, 1)).any(axis=1), -np.inf, scores.min(axis=1))
         qi, xi = np.nonzero(bound >= least[:, None] - slack)
         for qb, xb in levels[1:]:
-            reach = np.einsum("ij,ij->i", qb[rows][qi], xb[xi]) >= least[qi] - slack
+            reach = products(qb[rows], qi, xb, xi) >= least[qi] - slack
             qi, xi = qi[reach], xi[reach]
         other = q_ids[rows][qi] != x_ids[xi]
         qi, xi = qi[other], xi[other]
-        score = np.einsum("ij,ij->i", q[rows][qi], x[xi])
+        score = products(q[rows], qi, x, xi)
         order = np.lexsort((x_ids[xi], -score, qi))
         qi, xi, score = qi[order], xi[order], score[order]
         begins = np.flatnonzero(np.diff(qi, prepend=-1))
