@@ -13,7 +13,9 @@ from keyloom.session import materialize
 
 QUERY_BLOCK = 1024  # queries that a task compares at once
 VECTOR_BLOCK = 8192  # vectors that a task compares them with
-SEGMENTS = (4, 8, 16)  # coarse to fine
+SEGMENTS = (8, 16, 32)  # coarse to fine
+POOL = 128  # rows with the highest bounds that set a query's threshold
+DENSE = 16  # a level is computed for all pairs of a step while more than one in DENSE survives
 STRIP = 1 << 20  # pairs whose coarse bounds one numpy step holds
 PAIRS = 1 << 15  # pairs whose vectors it holds
 
@@ -62,37 +64,54 @@ def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.n
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, id, score) of the best ``k`` other rows of ``x`` for each query, and all ties with the last of them.
+    """(query, id, score) of the best ``k`` other rows of ``x`` for each query; ties go to the smaller id.
 
-    A first threshold comes from the ``k`` rows with the highest coarse bounds. Each finer level keeps only pairs whose
-    bound reaches their query's threshold; pairs that survive all levels get their exact integer product.
+    On each level, from coarse to fine, the exact products with the rows of the highest bounds raise the query's
+    threshold, and only pairs whose bound reaches it go on. Pairs that survive all levels get their exact product.
     """
     qf, xf = q.astype(float), x.astype(float)
-    slack = 1e-9 * (np.abs(qf).max(initial=0) + 1) * (np.abs(xf).max(initial=0) + 1) * q.shape[1] + 1e-3
+    most = (np.abs(qf).max(initial=0) + 1) * (np.abs(xf).max(initial=0) + 1) * q.shape[1]
+    slack = 1e-9 * most + 1e-3
+    exact = (qf, xf) if most < 2**52 else (q, x)  # products of these floats are exact, too
     levels = [bounds(qf, xf, parts) for parts in SEGMENTS]
     out = []
     height = max(1, STRIP // max(1, len(x)))
     for top in range(0, len(q), height):
         rows = slice(top, top + height)
-        bound = levels[0][0][rows] @ levels[0][1].T
-        bound[q_ids[rows, None] == x_ids] = -np.inf
-        take = min(k, len(x))
-        first = np.argpartition(-bound, take - 1, axis=1)[:, :take]
-        scores = np.einsum("ijk,ik->ij", x[first], q[rows])
-        least = np.where(np.isneginf(np.take_along_axis(bound, first, 1)).any(axis=1), -np.inf, scores.min(axis=1))
-        qi, xi = np.nonzero(bound >= least[:, None] - slack)
-        for qb, xb in levels[1:]:
-            reach = products(qb[rows], qi, xb, xi) >= least[qi] - slack
-            qi, xi = qi[reach], xi[reach]
-        other = q_ids[rows][qi] != x_ids[xi]
-        qi, xi = qi[other], xi[other]
+        own, features = q_ids[rows], exact[0][rows]
+        alive = own[:, None] != x_ids
+        least = np.full(len(own), -np.inf)
+        pairs = None
+        for qb, xb in levels:
+            if pairs is None and np.count_nonzero(alive) * DENSE < alive.size:
+                pairs = np.nonzero(alive)
+            if pairs is not None:
+                reach = products(qb[rows], pairs[0], xb, pairs[1]) >= least[pairs[0]] - slack
+                pairs = pairs[0][reach], pairs[1][reach]
+                continue
+            bound = np.where(alive, qb[rows] @ xb.T, -np.inf)
+            pool = min(max(POOL, k), len(x))
+            best = np.argpartition(-bound, pool - 1, axis=1)[:, :pool]
+            scores = np.einsum("ijk,ik->ij", exact[1][best], features).astype(float)
+            scores[~np.take_along_axis(alive, best, 1)] = -np.inf
+            if pool >= k:
+                least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+            alive &= bound >= least[:, None] - slack
+        if pairs is None:
+            score = np.where(alive, features @ exact[1].T, -np.inf) if exact[0] is qf else None
+            if score is None:
+                pairs = np.nonzero(alive)
+            else:
+                last = -np.partition(-score, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                pairs = np.nonzero(alive & (score >= last[:, None]))
+        qi, xi = pairs
         score = products(q[rows], qi, x, xi)
         order = np.lexsort((x_ids[xi], -score, qi))
         qi, xi, score = qi[order], xi[order], score[order]
         begins = np.flatnonzero(np.diff(qi, prepend=-1))
         rank = np.arange(len(qi)) - np.repeat(begins, np.diff(np.append(begins, len(qi))))
         best = rank < k
-        out.append((q_ids[rows][qi[best]], x_ids[xi[best]], score[best]))
+        out.append((own[qi[best]], x_ids[xi[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
