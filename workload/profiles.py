@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import json_values as J
 from keyloom.operators import classify, profile, similarity
 from keyloom.operators import flatten as flat
+from keyloom.plans import features
 from keyloom.session import materialize
 from workload import inputs as I
 from workload.registry import path_column, query
@@ -191,9 +192,7 @@ def semantic_similarity_embeddings(spark, sf):
     return sims.select("label", "num_keys", F.round("semantic_similarity", 9).alias("semantic_similarity"))
 
 
-@query(
-    "key_similarity_orders",
-    I.with_docs(I.ORDER_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, """
+_KEY_VECTORS = """
     grams AS (
       SELECT key, ('0x' || substr(md5(substr(t, i::INT, 3)), 1, 2))::BIGINT AS dim
       FROM (SELECT key, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i
@@ -201,7 +200,12 @@ def semantic_similarity_embeddings(spark, sf):
     counts AS (SELECT key, dim, count(*)::DOUBLE AS c FROM grams GROUP BY 1, 2),
     norms AS (SELECT key, sqrt(sum(c * c)) AS norm FROM counts GROUP BY 1),
     sums AS (SELECT dataset, path, dim, sum(c / norm) AS s FROM keys JOIN counts USING (key) JOIN norms USING (key) GROUP BY 1, 2, 3),
-    sizes AS (SELECT dataset, path, count(*) AS n FROM keys GROUP BY 1, 2)""", select="""
+    sizes AS (SELECT dataset, path, count(*) AS n FROM keys GROUP BY 1, 2)"""
+
+
+@query(
+    "key_similarity_orders",
+    I.with_docs(I.ORDER_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, _KEY_VECTORS, select="""
     SELECT dataset, path, n AS num_keys, CASE WHEN n < 2 THEN 1.0 ELSE round(sum(s * s) / (n * n), 9) END AS semantic_similarity
     FROM sums JOIN sizes USING (dataset, path) GROUP BY dataset, path, n"""),
 )
@@ -209,3 +213,55 @@ def key_similarity_orders(spark, sf):
     keys = materialize(lazy_keys(spark, sf, I.ORDER_DOCS), "keys")
     sims = similarity.key_similarity(keys)
     return sims.select("dataset", path_column(), "num_keys", F.round("semantic_similarity", 9).alias("semantic_similarity"))
+
+
+@query(
+    "feature_schema_orders",
+    I.with_docs(I.ORDER_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, I.PROFILE_SQL, _KEY_VECTORS, """
+    alike AS (SELECT dataset, path, CASE WHEN n < 2 THEN 1.0 ELSE sum(s * s) / (n * n) END AS similarity
+              FROM sums JOIN sizes USING (dataset, path) GROUP BY dataset, path, n),
+    props AS (SELECT dataset, path, array_to_string(list(concat(key, ':', types) ORDER BY key), ';') AS properties,
+                     round(sum(frequency / total), 6) AS total_occurrence
+              FROM keys JOIN (SELECT dataset, path, sum(frequency) AS total FROM keys GROUP BY 1, 2) AS t USING (dataset, path)
+              GROUP BY 1, 2)""", select="""
+    SELECT dataset, path, 0 AS part, properties, total_occurrence,
+           CASE WHEN depth <= 3 THEN 'shallow' WHEN depth <= 6 THEN 'moderate' ELSE 'deep' END AS depth_level,
+           datatype_entropy, num_nested_keys, round(similarity, 9) AS semantic_similarity
+    FROM profile JOIN alike USING (dataset, path) JOIN props USING (dataset, path)"""),
+)
+def feature_schema_orders(spark, sf):
+    keys = keys_of(spark, sf, I.ORDER_DOCS)
+    similar = similarity.key_similarity(keys).select("dataset", "path", "semantic_similarity")
+    profiles = profile.path_profile(keys, profile.num_docs(keys)).join(similar, ["dataset", "path"])
+    entries = F.array_sort(F.map_entries("schema.properties"))
+    text = F.transform(entries, lambda e: F.concat(e.key, F.lit(":"), F.array_join(e.value["type"], ",")))
+    total = F.aggregate(F.map_values("schema.properties"), F.lit(0.0), lambda a, v: a + v.occurrence)
+    return features.with_schema(profiles, keys).select(
+        "dataset", path_column(), "part", F.array_join(text, ";").alias("properties"), F.round(total, 6).alias("total_occurrence"),
+        "schema.depth_level", "schema.datatype_entropy", "schema.num_nested_keys",
+        F.round("schema.semantic_similarity", 9).alias("semantic_similarity"),
+    )
+
+
+@query(
+    "embed_keys_embeddings",
+    """
+    WITH coords AS (
+      SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    norms AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM coords GROUP BY 1),
+    sums AS (SELECT label, i, sum(x / norm) AS s FROM coords JOIN norms USING (vec_id) GROUP BY 1, 2),
+    sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT concat('label-', label) AS dataset, '$' AS path, n AS num_keys,
+           CASE WHEN n < 2 THEN 1.0 ELSE round(sum(s * s) / (n * n), 9) END AS semantic_similarity
+    FROM sums JOIN sizes USING (label) GROUP BY label, n
+    """,
+)
+def embed_keys_embeddings(spark, sf):
+    """Vector ids stand for keys; the encoder looks their vectors up in the row."""
+    rows = I.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("label-"), "label").alias("dataset"), F.array(F.lit("$")).alias("parent_path"),
+        F.to_json(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))).alias("key"),
+    )
+    encoder = F.from_json(F.get_json_object("key", "$.v"), "array<double>")
+    sims = similarity.key_similarity(rows, similarity.embed_keys(rows, encoder))
+    return sims.select("dataset", path_column(), "num_keys", F.round("semantic_similarity", 9).alias("semantic_similarity"))
