@@ -118,6 +118,33 @@ def test_one_of_each_group_stays(docs, rows, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def test_repeats_inside_a_text_do_not_hide_copies(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(10):
+        words, line = sentence(rng, 500, 10**6).split(), sentence(rng, 8, 10**6)
+        once = f"{line} {line} {' '.join(words)}"
+        words[250] = "changed"
+        texts += [once, f"{' '.join([line] * 25)} {' '.join(words)}"]
+        assert similar(shingles(texts[-1]), shingles(texts[-2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 20, 2))
+
+
+def test_sketches_of_similar_sets_are_near(spark):
+    rng = random.Random(12)
+    texts = []
+    for size in (8, 9, 10, 12, 14, 20, 30, 60, 200):  # words; the last ones go, so few shingles are not shared
+        for _ in range(60):
+            words = sentence(rng, size, 10**6).split()
+            texts += [" ".join(words), " ".join(words[: size - (size - 4) // 5])]
+            assert similar(shingles(texts[-1]), shingles(texts[-2]))
+    rows = simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    prints = {r.doc_id: r[2:] for r in rows}
+    apart = [sum(((x ^ y) % 2**64).bit_count() for x, y in zip(prints[i], prints[i + 1])) for i in range(0, len(texts), 2)]
+    assert max(apart) <= simhash.RADIUS
+
+
 def test_set_groups(spark):
     rng = random.Random(2)
     for most in (1 << 20, 30):  # in one task, and by cores
