@@ -430,6 +430,22 @@ def test_chat_deals_out_ties(spark):
     assert all(r.n_turns < 1500 for r in got)
 
 
+def test_chat_keeps_large_parts_in_order(spark):
+    rng = random.Random(6)
+    turns = [(1, rng.choice([3, 7]), rng.choice("ab"), f"t{rng.randrange(500):03}") for _ in range(2500)] + [(1, 5, "a", "again")] * 2600
+    turns += [(None, None, rng.choice("ab"), f"u{rng.randrange(10**6)}") for _ in range(1500)] + [(2, 1, "a", "short"), (1, 300, "b", "next")]
+    rng.shuffle(turns)
+    got = chat.rotated(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    for conv, perspective in ((1, "a"), (1, "b"), (None, "a"), (2, "a")):
+        own = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, perspective)), key=lambda r: (r.part, r.sub))
+        said = sorted((t[1:] for t in turns if t[0] == conv), key=lambda t: (t[0] is None, t[0] or 0, *t[1:]))
+        role = lambda s: "assistant" if s == perspective else f"user name={s}"
+        assert "".join(r.text for r in own) == "".join(f"<|im_start|>{role(s)}\n{t}<|im_end|>\n" for _, s, t in said)
+        masked = [r.text[int(a) : int(b)] for r in own for a, b in (m.split("-") for m in r.mask.split(",") if m)]
+        assert masked == [f"{t}<|im_end|>" for _, s, t in said if s == perspective]
+        assert max(r.n_turns for r in own) <= chat.PART_ROWS
+
+
 def test_viterbi_is_the_best_segmentation():
     model = pieces.load(PIECES)
     scores = {p: (s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores))}
