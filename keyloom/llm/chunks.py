@@ -85,11 +85,14 @@ def buckets_for(keys: float) -> int:
     return max(12, math.ceil(keys / BUCKET_KEYS))
 
 
-def colliding(rows: DataFrame, keys_of: Callable[[Chunk], np.ndarray], buckets: int) -> DataFrame:
+def colliding(rows: DataFrame, keys_of: Callable[[Chunk], np.ndarray], buckets: int, often: int | None = None) -> DataFrame:
     """(chunk, keys): for each chunk the lower 32 bits, per bucket, of its keys that occur twice or more.
 
     ``keys_of`` gives a chunk's 64-bit keys, each once, or twice if texts of the chunk share it. Keys are compared by
     bucket (from the upper half) and lower half, so the result may name a few more than really collide.
+
+    With ``often`` there is a column ``hot``, the keys of ``keys`` that over ``often`` texts have; a chunk then gives a key
+    once more for each doubling of its texts that have it, and counts as the least number of texts that would.
     """
 
     def send(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
@@ -114,14 +117,29 @@ def colliding(rows: DataFrame, keys_of: Callable[[Chunk], np.ndarray], buckets:
         edges = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         out = [np.unique(keys[a:b][hits[a:b]]) for a, b in zip(edges, edges[1:])]
         some = [i for i, x in enumerate(out) if len(x)]
+        hot = {}
+        if often is not None:
+            frequent = _frequent(lists, ordered, often)
+            hot = {"hot": pa.array([out[i][np.isin(out[i], frequent)].tobytes() for i in some], pa.binary())}
         return pa.table({
             "chunk": group.column("chunk").take(pa.array(some, pa.int64())),
             "bucket": group.column("bucket").take(pa.array(some, pa.int64())),
             "keys": pa.array([out[i].tobytes() for i in some], pa.binary()),
-        })
+        } | hot)
 
     sent = over_chunks(rows, send, "bucket int, chunk long, keys binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, keys binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, keys binary" + ", hot binary" * (often is not None))
+
+
+def _frequent(lists: list[np.ndarray], ordered: np.ndarray, often: int) -> np.ndarray:
+    """Keys for which ``2**(times - 1)``, summed over the lists that have them, is more than ``often``."""
+    apart = often.bit_length()  # fewer others of the same key do not suffice
+    some = np.unique(ordered[apart:][ordered[apart:] == ordered[: max(0, len(ordered) - apart)]])
+    weights = np.zeros(len(some), dtype=np.int64)
+    for keys in lists if len(some) else ():
+        values, times = np.unique(keys[np.isin(keys, some)], return_counts=True)
+        weights[np.searchsorted(some, values)] += np.left_shift(1, times - 1)
+    return some[weights > often]
 
 
 def halves(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

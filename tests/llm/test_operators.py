@@ -279,6 +279,26 @@ def test_suffix_array(docs, rows, nothing):
     assert suffix_array.deduplicated(nothing).count() == 0
 
 
+@pytest.mark.parametrize("often", [0, 3])
+def test_suffix_array_deals_out_hot_anchors(docs, rows, nothing, often, monkeypatch):
+    monkeypatch.setattr(suffix_array, "OFTEN", often)
+    test_suffix_array(docs, rows, nothing)
+
+
+def test_strings_of_a_hot_anchor_meet_in_many_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix_array, "OFTEN", 100)
+    texts = [f"{rng.randrange(10**12):040} a frequent phrase {rng.randrange(10**12):040}" for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, texts[7])], "doc_id long, text string").repartition(4)
+    chunks, size = suffix_array.written(docs, "hot_chunks")
+    candidates, buckets, answers = suffix_array.repeats(chunks, size)
+    assert any(r.hot for r in candidates.collect())
+    sorted_in = {r.bucket for r in answers.collect()}
+    assert sum(b >= 3 * buckets for b in sorted_in) > 3
+    removed = {r.doc_id: r.n_removed for r in suffix_array.deduplicated(docs).collect()}
+    assert removed[400] == len(texts[7]) and removed[0] == 0
+
+
 def test_blind_trie():
     rng = random.Random(0)
     for _ in range(200):
