@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom import configure
-from keyloom.llm import chat, decision_list, hmm, html_blocks, packing, paragraphs, pieces, simhash, suffix_array, topk
+from keyloom.llm import chat, decision_list, hmm, html_blocks, merkle, packing, paragraphs, pieces, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,54 @@ def op10(spark, sf_dir):
     import public_tokenizers
 
     return pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _merkle_sql(heights: int = 6, top_heights: int = 4) -> str:
+    """Trees level by level, for up to 16**heights rows of a source and 16**top_heights sources."""
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    before = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce([xor(4294967295::BIGINT, 0::BIGINT)] || [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')],
+      lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT FOR i IN range(8)],
+        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"""
+    ctes = [f"""rows AS (
+  SELECT doc_id, source, sha256({before} || {field.format('text')}) AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN sha256({before} || {field.format(lowered)}) END AS tampered FROM documents)""",
+        """s0 AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS digest FROM rows)"""]
+
+    def grow(name: str, levels: int) -> None:
+        for k in range(levels):
+            ctes.append(f"""{name}r{k} AS (
+  SELECT g, idx // 16 AS up, list(digest ORDER BY idx) AS run, (any_value(n) + 15) // 16 AS n FROM {name}{k} WHERE n > 1 GROUP BY 1, 2)""")
+            ctes.append(f"{name}{k + 1} AS (SELECT g, up AS idx, sha256(array_to_string(run, '')) AS digest, n FROM {name}r{k})")
+
+    grow("s", heights)
+    roots = " UNION ALL ".join(f"SELECT g, digest FROM s{k} WHERE n = 1" for k in range(heights + 1))
+    ctes.append(f"subroots AS ({roots})")
+    ctes.append("t0 AS (SELECT 0 AS g, g AS idx, digest, count(*) OVER () AS n FROM subroots)")
+    grow("t", top_heights)
+    ctes.append("root AS (" + " UNION ALL ".join(f"SELECT digest FROM t{k} WHERE n = 1" for k in range(top_heights + 1)) + ")")
+    joins = [f"LEFT JOIN sr{k} ON sr{k}.g = l.g AND sr{k}.up = l.idx // {16 ** (k + 1)}" for k in range(heights)]
+    joins += [f"LEFT JOIN tr{k} ON tr{k}.up = l.g // {16 ** (k + 1)}" for k in range(top_heights)]
+    places = [(f"sr{k}", f"(l.idx // {16 ** k}) % 16") for k in range(heights)]
+    places += [(f"tr{k}", f"(l.g // {16 ** k}) % 16") for k in range(top_heights)]
+    sides = ", ".join(
+        f"coalesce(array_to_string({r}.run[:{d}], ''), '') AS a{i}, coalesce(array_to_string({r}.run[{d} + 2:], ''), '') AS b{i}, "
+        f"{r}.run IS NOT NULL AS has{i}" for i, (r, d) in enumerate(places)
+    )
+    ctes.append(f"""paths AS (SELECT doc_id, leaf, subroots.digest AS subroot, root.digest AS root, coalesce(tampered, leaf) AS f0, {sides}
+  FROM s0 AS l JOIN subroots ON subroots.g = l.g CROSS JOIN root {' '.join(joins)})""")
+    last = "paths"
+    for i in range(len(places)):
+        ctes.append(f"p{i} AS (SELECT *, CASE WHEN has{i} THEN sha256(a{i} || f{i} || b{i}) ELSE f{i} END AS f{i + 1} FROM {last})")
+        last = f"p{i}"
+    proof = " || ".join(f"a{i} || b{i}" for i in range(len(places)))
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f{len(places)} AS folded_root, f{len(places)} = root AS verified FROM {last}"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"))
