@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom import configure
-from keyloom.llm import chat, decision_list, hmm, html_blocks, merkle, packing, paragraphs, pieces, simhash, suffix_array, topk
+from keyloom.llm import chat, decision_list, hmm, html_blocks, merkle, packing, paragraphs, pieces, secrets, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,6 +119,11 @@ def op10(spark, sf_dir):
     return pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op12_markov_secret_scan")
+def op12(spark, sf_dir):
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def _merkle_sql(heights: int = 6, top_heights: int = 4) -> str:
     """Trees level by level, for up to 16**heights rows of a source and 16**top_heights sources."""
     field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
