@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom import configure
-from keyloom.llm import chat, decision_list, hmm, html_blocks, merkle, packing, paragraphs, pieces, secrets, simhash, suffix_array, topk
+from keyloom.llm import chat, decision_list, hmm, html_blocks, merkle, packing, pair_bounds, paragraphs, pieces, secrets, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,6 +119,33 @@ def op10(spark, sf_dir):
     return pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+RANKED_SQL = """
+WITH runs AS (
+  SELECT row_number() OVER () AS row, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM runs),
+held AS (SELECT row, doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM held GROUP BY 1),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY 1), corpus),
+scores AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // corpus.terms))))::BIGINT AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (row), corpus GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_pair_bound_search", RANKED_SQL)
+def op11(spark, sf_dir):
+    return pair_bounds.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_markov_secret_scan")
 def op12(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
