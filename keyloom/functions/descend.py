@@ -30,6 +30,19 @@ def opener_count(v: Column) -> Column:
     )
 
 
+def nesting_depth(v: Column) -> Column:
+    """How deep containers are nested in a value: 0 for a scalar. One pass over the brackets of its text."""
+    bare = F.regexp_replace(F.to_json(v), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(acc, c):
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, count, lambda acc: acc["most"])
+
+
 def descend(
     roots: Column,
     children: Callable[[Column], Column],
@@ -105,4 +118,5 @@ def containers(
         return F.coalesce(members(c), items(c), none)
 
     start = F.array(F.struct(root.alias("path"), v.alias("x")))
-    return descend(start, children, CONTAINER, opener_count(v) + 1, max_depth, usual_levels)
+    levels = nesting_depth(v) + 1 if usual_levels is None else opener_count(v) + 1
+    return descend(start, children, CONTAINER, levels, max_depth, usual_levels)

@@ -1,8 +1,7 @@
 """Rewriting a JSON Schema inside its own row: references replaced, open objects closed.
 
 The schema is opened level by level into its nodes, each knowing whether it stands where a schema
-stands. The new text is put together from the last node back to the first: the children of a node
-follow each other, so a node's text needs only a slice of the texts already built.
+stands. The new text is what opens and what closes each node, sorted by the places of the nodes.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import descend, opener_count
+from keyloom.functions.descend import descend, nesting_depth
 from keyloom.functions.schema_walk import let, ref_of, ref_targets, type_is
 
 # Where sub-schemas stand, for the purpose of closing them.
@@ -19,7 +18,8 @@ MAPS_OF_SCHEMAS = ["properties", "patternProperties"]
 SCHEMA_OR_LIST = ["items", "allOf", "anyOf", "oneOf", "if", "then", "else"]
 SINGLE_SCHEMA = ["additionalProperties"]
 
-NODE = "struct<key:string,x:variant,place:string,trail:array<string>>"
+NODE = "struct<key:string,x:variant,place:string,trail:array<string>,pos:array<int>>"
+AFTER = (1 << 31) - 1  # the place after all members or items
 PAIR = "struct<key:string,value:variant>"
 
 
@@ -60,7 +60,7 @@ def _nodes(x: Column, expand_refs: bool) -> Column:
             chain = F.aggregate(F.sequence(F.lit(1), F.size(targets)), start, lambda at, _: resolved(at.x, at.trail))
             return F.when(ref_of(value).isNull() | (F.size(targets) == 0), start).otherwise(chain)
 
-        def node(key, value, place, trail):
+        def node(key, value, place, trail, pos):
             return let(
                 followed(value, trail),
                 lambda r: F.struct(
@@ -68,6 +68,7 @@ def _nodes(x: Column, expand_refs: bool) -> Column:
                     r.x.alias("x"),
                     _place_below(place, key, r.x).alias("place"),
                     r.trail.alias("trail"),
+                    pos.alias("pos"),
                 ),
             )
 
@@ -94,17 +95,20 @@ def _nodes(x: Column, expand_refs: bool) -> Column:
                 lambda i: F.struct(F.lit(None).cast("string").alias("key"), i.alias("value")),
             )
             below = F.coalesce(members(s), unnamed, J.empty(f"array<{PAIR}>"))
-            return F.transform(below, lambda e: node(e.key, e.value, place, s.trail)).cast(f"array<{NODE}>")
+            return F.transform(
+                below, lambda e, i: node(e.key, e.value, place, s.trail, F.array_append(s.pos, i))
+            ).cast(f"array<{NODE}>")
 
         root = F.struct(
             F.lit(None).cast("string").alias("key"),
             x.alias("x"),
             F.lit("root").alias("place"),
             J.empty("array<string>").alias("trail"),
+            J.empty("array<int>").alias("pos"),
         )
-        levels = (opener_count(x) + 1) * (F.size(targets) + 1)
+        levels = (nesting_depth(x) + 1) * (F.size(targets) + 1)
         described = lambda s: F.struct(
-            s.key.alias("key"), s.x.alias("x"), s.place.alias("place"), children(s).alias("kids")
+            s.key.alias("key"), s.x.alias("x"), s.place.alias("place"), s.pos.alias("pos"), children(s).alias("kids")
         )
         return F.transform(descend(F.array(root), children, NODE, levels), described)
 
@@ -122,46 +126,31 @@ def rewritten(x: Column, expand_refs: bool = False, close: bool = False) -> Colu
     """Struct of the compact ``text`` of schema ``x`` with references replaced and open objects
     closed, and of ``refs_left``: references that are remote, missing or endlessly recursive."""
 
-    def text_of(n, kids, kid_texts):
-        parts = F.zip_with(kids, kid_texts, lambda k, t: F.when(
-            k.key.isNotNull(), F.concat(quoted(k.key), F.lit(":"), t)
-        ).otherwise(t))
-        if close:
-            schema_here = n.place.isin("schema", "root")
-            names = F.transform(kids, lambda k: k.key)
-            undeclared = ~F.array_contains(names, "additionalProperties")
-            object_like = (
-                type_is(n.x, "object")
-                | F.array_contains(names, "properties")
-                | F.array_contains(names, "required")
-            )
-            parts = F.when(
-                schema_here & undeclared & object_like,
-                F.array_append(parts, F.lit('"additionalProperties":false')),
-            ).otherwise(parts)
-        return (
-            F.when(J.is_object(n.x), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
-            .when(J.is_array(n.x), F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")))
-            .otherwise(F.to_json(n.x))
+    def opening(n):
+        comma = F.when(F.element_at(n.pos, -1) > 0, ",").otherwise("")
+        name = F.when(n.key.isNotNull(), F.concat(quoted(n.key), F.lit(":"))).otherwise("")
+        own = F.when(J.is_object(n.x), "{").when(J.is_array(n.x), "[").otherwise(F.to_json(n.x))
+        return F.when(F.size(n.pos) == 0, own).otherwise(F.concat(comma, name, own))
+
+    def closing(n):
+        end = F.when(J.is_object(n.x), "}").otherwise("]")
+        if not close:
+            return end
+        names = F.transform(n.kids, lambda k: k.key)
+        object_like = (
+            type_is(n.x, "object") | F.array_contains(names, "properties") | F.array_contains(names, "required")
         )
+        added = n.place.isin("schema", "root") & ~F.array_contains(names, "additionalProperties") & object_like
+        comma = F.when(F.size(n.kids) > 0, ",").otherwise("")
+        return F.when(added, F.concat(comma, F.lit('"additionalProperties":false}'))).otherwise(end)
 
     def assembled(nodes):
-        total = F.size(nodes)
-        # texts: of the nodes after the current one; later: how many children those have.
-        start = F.struct(J.empty("array<string>").alias("texts"), F.lit(0).alias("later"))
-
-        def add(acc, n):
-            kids = F.size(n.kids)
-            # Children of earlier nodes and of this one fill the positions up to this one's first child.
-            first = (total - 1) - acc.later - kids + 1
-            here = total - 1 - F.size(acc.texts)
-            kid_texts = F.slice(acc.texts, first - here, kids)
-            return F.struct(
-                F.array_prepend(acc.texts, text_of(n, n.kids, kid_texts)).alias("texts"),
-                (acc.later + kids).alias("later"),
-            )
-
-        return F.aggregate(F.reverse(nodes), start, add, lambda acc: acc.texts[0])
+        opened = F.transform(nodes, lambda n: F.struct(n.pos.alias("pos"), opening(n).alias("text")))
+        inner = F.filter(nodes, lambda n: J.is_object(n.x) | J.is_array(n.x))
+        closed = F.transform(
+            inner, lambda n: F.struct(F.array_append(n.pos, F.lit(AFTER)).alias("pos"), closing(n).alias("text"))
+        )
+        return F.array_join(F.transform(F.sort_array(F.concat(opened, closed)), lambda e: e.text), "")
 
     def is_ref(n):
         # The root's own reference is gone from its members where its target was found.

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import containers, descend, opener_count
+from keyloom.functions.descend import containers, descend, nesting_depth, opener_count
 
 # Longest data path a walk follows through a recursive reference unless told otherwise.
 MAX_PATH_LENGTH = 32
@@ -147,8 +147,10 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
                             & (n.hops <= F.size(targets)))
             return F.coalesce(kept.cast(f"array<{STATE}>"), none)
 
-        levels = F.when(F.size(targets) == 0, opener_count(x) + 1).otherwise(
-            opener_count(x) * F.greatest(F.lit(max_path_length), F.size(targets) + 1) + F.size(targets)
+        # Between two data steps no schema is passed twice; the bound follows the depth, as each round copies the states.
+        depth, some = nesting_depth(x) + 1, F.size(targets) + 1
+        levels = F.when(F.size(targets) == 0, depth).otherwise(
+            F.least(opener_count(x), depth * some) * F.greatest(F.lit(max_path_length), some) + F.size(targets)
         )
         return descend(F.array(root), next_states, STATE, levels)
 

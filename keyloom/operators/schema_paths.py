@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import descend, opener_count
+from keyloom.functions.descend import descend, nesting_depth
 from keyloom.functions.schema_walk import (
     MAX_PATH_LENGTH,
     STATE,
@@ -26,6 +26,7 @@ from keyloom.functions.schema_walk import (
     type_is,
     walk,
 )
+from keyloom.operators.schema_nodes import observed_static_paths
 from keyloom.session import prepared
 
 # Keywords that hold lists of alternative or combined schemas.
@@ -129,8 +130,7 @@ def _paths(schemas: DataFrame, name: str, children, emit, max_path_length: int)
         return F.transform(path, lambda t: F.struct(t.kind.alias("kind"), t.token.alias("token")))
 
     def build():
-        reported = walk(F.col("x"), children, emit, max_path_length)
-        return F.array_distinct(F.transform(reported, plain))
+        return F.transform(walk(F.col("x"), children, emit, max_path_length), plain)
 
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
     found = prepared((name, max_path_length), build)
@@ -142,13 +142,24 @@ def static_paths(
     variant: str = "closed",
     assume_closed: bool = False,
     max_path_length: int = MAX_PATH_LENGTH,
+    observed: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct data paths whose keys a schema closes: (dataset, path of typed steps).
 
     ``closed`` reports schemas with ``additionalProperties`` exactly false. With ``assume_closed``
     schemas that leave it undeclared count as closed too, as after :func:`close_schema`.
     ``explicit`` reports closed paths, and open ones with a final ``wild`` step.
+
+    With ``observed(dataset, path)`` schemas with references are walked as a node table, along the data: their paths are
+    those that begin an observed one, however far a recursion goes and however it branches.
     """
+    if observed is not None:
+        marked = schemas.withColumn("_refs", F.coalesce(F.contains(F.to_json(J.parse(F.col("schema_json"))), F.lit('"$ref"')), F.lit(False)))
+        plain = static_paths(marked.where("NOT _refs").drop("_refs"), variant, assume_closed, max_path_length)
+        referring = marked.where("_refs").drop("_refs")
+        if referring.isEmpty():
+            return plain
+        return plain.unionByName(observed_static_paths(referring, observed, variant, assume_closed))
     if variant == "closed":
         name = "assumed closed" if assume_closed else "closed"
         return _paths(
@@ -208,7 +219,7 @@ def _dynamic_pointers(x: Column) -> Column:
         return J.is_object(c.x) & (has(c.x, "patternProperties") | opens)
 
     root = F.array(F.struct(J.empty("array<string>").alias("path"), x.alias("x")))
-    states = descend(root, children, state, opener_count(x))
+    states = descend(root, children, state, nesting_depth(x) + 1)
     return F.transform(F.filter(states, is_dynamic), lambda c: c.path)
 
 
@@ -286,7 +297,7 @@ def dynamic_paths_dotted(schemas: DataFrame) -> DataFrame:
     dotted = F.array_join(
         F.transform(F.slice("path", 2, F.size("path")), lambda t: F.concat(F.lit("."), t.token)), ""
     )
-    return _paths(schemas, "dotted", children, emit, MAX_PATH_LENGTH).select("dataset", dotted.alias("dotted_path"))
+    return _paths(schemas, "dotted", children, emit, MAX_PATH_LENGTH).select("dataset", dotted.alias("dotted_path")).distinct()
 
 
 def path_text(path: Column) -> Column:
