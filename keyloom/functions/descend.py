@@ -30,6 +30,18 @@ def opener_count(v: Column) -> Column:
     )
 
 
+# How a step of a path with places begins: a member's name or an item's position follows.
+MEMBER, ITEM = "k", "i"
+
+
+def member_step(key: Column) -> Column:
+    return F.concat(F.lit(MEMBER), key)
+
+
+def item_step(place: Column) -> Column:
+    return F.concat(F.lit(ITEM), place.cast("string"))
+
+
 def nesting_depth(v: Column) -> Column:
     """How deep containers are nested in a value: 0 for a scalar. One pass over the brackets of its text."""
     bare = F.regexp_replace(F.to_json(v), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
@@ -92,10 +104,12 @@ def containers(
     descend_arrays: bool = True,
     max_depth: int | None = None,
     usual_levels: int | None = None,
+    places: bool = False,
 ) -> Column:
     """Every object and non-empty array inside ``v`` with its path, root included.
 
-    Array steps are written ``*``. With ``descend_arrays=False`` arrays are not entered.
+    Array steps are written ``*``; with ``places`` all steps are written as by :func:`member_step` and
+    :func:`item_step`. With ``descend_arrays=False`` arrays are not entered.
     """
     none = empty(f"array<{CONTAINER}>")
     deeper = has_children if descend_arrays else is_object
@@ -103,10 +117,17 @@ def containers(
     def members(c):
         return F.transform(
             F.filter(F.map_entries(object_map(c.x)), lambda e: deeper(e.value)),
-            lambda e: F.struct(F.array_append(c.path, e.key).alias("path"), e.value.alias("x")),
+            lambda e: F.struct(
+                F.array_append(c.path, member_step(e.key) if places else e.key).alias("path"), e.value.alias("x")
+            ),
         )
 
     def items(c):
+        if places:
+            placed = F.transform(array_items(c.x), lambda v, i: F.struct(
+                F.array_append(c.path, item_step(i)).alias("path"), v.alias("x")
+            ))
+            return F.filter(placed, lambda p: deeper(p.x))
         return F.transform(
             F.filter(array_items(c.x), deeper),
             lambda i: F.struct(F.array_append(c.path, F.lit("*")).alias("path"), i.alias("x")),

@@ -144,6 +144,15 @@ def types_of_mask(mask: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
+def canonical(v: Column) -> Column:
+    """Text that is the same for equal values: members by name, ``1.0`` and ``1.50`` as ``1`` and ``1.5``.
+
+    A VARIANT keeps members by name already. Strings are passed over as a whole.
+    """
+    zeros = r'("(?:[^"\\]++|\\.)*+")|\.0+(?=[,\]}]|$)|(\.\d*?[1-9])0+(?=[,\]}]|$)'
+    return F.regexp_replace(F.to_json(v), zeros, "$1$2")
+
+
 def container_size(v: Column) -> Column:
     """Number of members or items; 0 for scalars."""
     return F.coalesce(F.size(object_map(v)), F.size(array_items(v)), F.lit(0))

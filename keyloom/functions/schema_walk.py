@@ -22,7 +22,14 @@ from keyloom.functions.descend import containers, descend, nesting_depth, opener
 MAX_PATH_LENGTH = 32
 
 TOKEN = "struct<kind:string,token:string,names:array<string>,patterns:array<string>>"
-STATE = f"struct<path:array<{TOKEN}>,x:variant,hops:int,closable:boolean,trail:array<string>,recursive:boolean>"
+# A branch of a combining keyword: which keyword, which of its schemas, and how long the data path is where it stands.
+BRANCH = "struct<id:string,branch:int,depth:int>"
+STATE = (
+    f"struct<path:array<{TOKEN}>,x:variant,hops:int,closable:boolean,trail:array<string>,recursive:boolean,"
+    f"scope:array<{BRANCH}>>"
+)
+# What stands for a reference that leads nowhere, where a walk asks for it.
+DEAD = '{"$dead":true}'
 
 Walk = Callable[[Column], Column]
 
@@ -76,7 +83,9 @@ def token(kind: str, text: Column, names: Column | None = None, patterns: Column
     )
 
 
-def step(s: Column, tok: Column | None, x: Column, closable: Column | None = None) -> Column:
+def step(
+    s: Column, tok: Column | None, x: Column, closable: Column | None = None, scope: Column | None = None
+) -> Column:
     """State reached from ``s`` at sub-schema ``x``, one data step further if a token is given."""
     path = s.path if tok is None else F.array_append(s.path, tok)
     return F.struct(
@@ -86,6 +95,7 @@ def step(s: Column, tok: Column | None, x: Column, closable: Column | None = Non
         (s.closable if closable is None else closable).alias("closable"),
         s.trail.alias("trail"),
         s.recursive.alias("recursive"),
+        (s.scope if scope is None else scope).alias("scope"),
     )
 
 
@@ -114,8 +124,14 @@ def ref_targets(x: Column) -> Column:
     )
 
 
-def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGTH) -> Column:
-    """All states a walk reaches in schema ``x``; a schema with ``$ref`` only leads to its target."""
+def walk_states(
+    x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGTH, beside: Column | None = None, mark_dead: bool = False
+) -> Column:
+    """All states a walk reaches in schema ``x``; a schema with ``$ref`` only leads to its target.
+
+    Where ``beside`` is true, what stands beside a ``$ref`` is followed too. With ``mark_dead`` a reference that leads
+    nowhere is a state with the schema ``DEAD``.
+    """
     root = F.struct(
         F.array(token("key", F.lit("$"))).alias("path"),
         x.alias("x"),
@@ -123,24 +139,37 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
         F.lit(True).alias("closable"),
         J.empty("array<string>").alias("trail"),
         F.lit(False).alias("recursive"),
+        J.empty(f"array<{BRANCH}>").alias("scope"),
     )
 
     def body(targets):
         def follow(s):
             hop = F.filter(targets, lambda t: t.path == ref_of(s.x))
             name = F.array_join(ref_of(s.x), "/")
-            return F.transform(hop, lambda t: F.struct(
+            followed = F.transform(hop, lambda t: F.struct(
                 s.path.alias("path"),
                 t.x.alias("x"),
                 (s.hops + 1).alias("hops"),
                 s.closable.alias("closable"),
                 F.array_union(s.trail, F.array(name)).alias("trail"),
                 (s.recursive | F.array_contains(s.trail, name)).alias("recursive"),
+                s.scope.alias("scope"),
             ))
+            if not mark_dead:
+                return followed
+            dead = F.array(step(s, None, F.parse_json(F.lit(DEAD))))
+            some = F.coalesce(F.size(hop), F.lit(0)) > 0
+            return F.when(some, followed.cast(f"array<{STATE}>")).otherwise(dead.cast(f"array<{STATE}>"))
 
         def next_states(s):
             none = J.empty(f"array<{STATE}>")
-            found = F.when(has(s.x, "$ref"), follow(s)).otherwise(children(s))
+            own = children(s)
+            if beside is not None:
+                reached = follow(s).cast(f"array<{STATE}>")
+                found = F.when(has(s.x, "$ref"), F.concat(reached, F.when(beside, own.cast(f"array<{STATE}>")).otherwise(none)))
+                found = found.otherwise(own.cast(f"array<{STATE}>"))
+            else:
+                found = F.when(has(s.x, "$ref"), follow(s)).otherwise(own)
             # A chain of references longer than the number of targets is a loop without data steps.
             kept = F.filter(found, lambda n: J.is_object(n.x)
                             & (~n.recursive | (F.size(n.path) <= max_path_length))
@@ -157,7 +186,11 @@ def walk_states(x: Column, children: Walk, max_path_length: int = MAX_PATH_LENGT
     return let(ref_targets(x), body)
 
 
-def walk(x: Column, children: Walk, emit: Walk, max_path_length: int = MAX_PATH_LENGTH) -> Column:
-    """Everything ``emit`` reports at the reached states; schemas with ``$ref`` report nothing."""
-    states = F.filter(walk_states(x, children, max_path_length), lambda s: ~has(s.x, "$ref"))
+def walk(
+    x: Column, children: Walk, emit: Walk, max_path_length: int = MAX_PATH_LENGTH, beside: Column | None = None,
+    mark_dead: bool = False,
+) -> Column:
+    """Everything ``emit`` reports at the reached states; schemas with ``$ref`` report nothing unless ``beside`` is true."""
+    reports = lambda s: ~has(s.x, "$ref") if beside is None else (~has(s.x, "$ref") | beside)
+    states = F.filter(walk_states(x, children, max_path_length, beside, mark_dead), reports)
     return F.flatten(F.transform(states, emit))

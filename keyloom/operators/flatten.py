@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import containers
+from keyloom.functions.descend import containers, item_step, member_step
 from keyloom.session import prepared
 
 # Levels opened by the chain; deeper values and documents with more text are opened in place.
@@ -46,7 +46,7 @@ def root_keys(doc: str = "doc"):
     return F.map_keys(J.object_map(F.col(doc)))
 
 
-def _described(is_index: Column, x: Column, with_values: bool) -> Column:
+def _described(is_index: Column, x: Column, with_values: bool, compared: Column | None = None) -> Column:
     """What is reported about one member or item. The engine's type name is mapped to a JSON type
     only when rows are emitted: here it would be evaluated once per case."""
     fields = [J.scalar_type(x).alias("raw_type"), is_index.alias("is_index")]
@@ -56,15 +56,24 @@ def _described(is_index: Column, x: Column, with_values: bool) -> Column:
             F.when(~J.has_children(x), F.try_variant_get(x, "$", "string")).alias("scalar"),
             F.map_keys(J.object_map(x)).alias("members"),
         ]
+    if compared is not None:
+        items = F.transform(J.array_items(x), J.canonical)
+        fields += [
+            F.when(compared, J.canonical(x)).alias("canonical"),
+            F.when(compared, F.size(items) != F.size(F.array_distinct(items))).alias("repeats"),
+        ]
     return F.struct(*fields)
 
 
-def _info_type(with_values: bool) -> str:
+def _info_type(with_values: bool, compared: bool = False) -> str:
     values = ",size:int,scalar:string,members:array<string>" if with_values else ""
+    values += ",canonical:string,repeats:boolean" if compared else ""
     return f"struct<raw_type:string,is_index:boolean{values}>"
 
 
-def _opened_in_place(x: Column, path: Column, descend_arrays: bool, with_values: bool) -> Column:
+def _opened_in_place(
+    x: Column, path: Column, descend_arrays: bool, with_values: bool, places: bool, compared: Column | None
+) -> Column:
     """Everything below container ``x`` at ``path``, as one array of (parent_path, key, info)."""
 
     def entries(c):
@@ -73,16 +82,18 @@ def _opened_in_place(x: Column, path: Column, descend_arrays: bool, with_values:
             J.array_items(c.x),
             lambda i: F.struct(F.lit(None).cast("string").alias("key"), i.alias("value")),
         )
-        return F.transform(
-            F.coalesce(members, unnamed) if descend_arrays else members,
-            lambda e: F.struct(
+
+        def told(e, i):
+            named = F.coalesce(member_step(e.key), item_step(i)) if places else F.coalesce(e.key, F.lit("*"))
+            return F.struct(
                 c.path.alias("parent_path"),
-                F.coalesce(e.key, F.lit("*")).alias("key"),
-                _described(e.key.isNull(), e.value, with_values).alias("info"),
-            ),
-        )
+                named.alias("key"),
+                _described(e.key.isNull(), e.value, with_values, compared).alias("info"),
+            )
+
+        return F.transform(F.coalesce(members, unnamed) if descend_arrays else members, told)
 
-    inside = F.transform(containers(x, path, descend_arrays), entries)
+    inside = F.transform(containers(x, path, descend_arrays, places=places), entries)
     return F.flatten(F.filter(inside, lambda e: e.isNotNull()))
 
 
@@ -93,6 +104,8 @@ def flatten_json(
     include_root: bool = False,
     with_values: bool = False,
     max_depth: int | None = None,
+    places: bool = False,
+    compared: str | None = None,
 ) -> DataFrame:
     """One row per object member and array item at every depth.
 
@@ -101,11 +114,15 @@ def flatten_json(
     ``parent_path``, ``key``, ``is_index``, ``json_type``, and with ``with_values`` also ``size``
     (members or items), ``scalar`` (text of scalar values) and ``members`` (key names of objects).
     ``include_root`` adds a row for the document itself, with key ``$`` and an empty parent path.
-    With ``max_depth`` a document that goes deeper raises.
+    With ``max_depth`` a document that goes deeper raises. With ``places`` the steps of paths are written as by
+    ``descend.member_step`` and ``descend.item_step``, so that every value has a path of its own. ``compared`` names a
+    boolean column: where it is true, ``canonical`` (text that is the same for equal values) and ``repeats`` (of an
+    array: some items are equal) are reported too.
     """
     keep = [c for c in docs.columns if c not in (doc, "wide")]
     wide = F.col("wide") if "wide" in docs.columns and max_depth is None else F.lit(False)
-    info_array = f"array<{_info_type(with_values)}>"
+    info_array = f"array<{_info_type(with_values, compared is not None)}>"
+    mark = None if compared is None else F.col(compared)
 
     entered = ["OBJECT", "ARRAY"] if descend_arrays else ["OBJECT"]
 
@@ -113,10 +130,10 @@ def flatten_json(
         """The value if the next level enters it."""
         return F.when(info.raw_type.isin(*entered), value)
 
-    root = F.array(_described(F.lit(False), F.col(doc), with_values))
+    root = F.array(_described(F.lit(False), F.col(doc), with_values, mark))
     rows = docs.select(
         *keep,
-        F.array(F.lit(ROOT)).alias("_path"),
+        F.array(member_step(F.lit(ROOT)) if places else F.lit(ROOT)).alias("_path"),
         root.cast(info_array).alias("_info"),
         F.lit(0).alias("_from"),
         F.when(wide, F.col(doc)).alias("_whole"),
@@ -130,8 +147,8 @@ def flatten_json(
             rows.sparkSession.tvf.variant_explode_outer(F.col("_value").outer()).toDF("_pos", "_key", "_child")
         ).select(*carried, "_pos", "_key", "_child")
         reached = F.col("_pos").isNotNull()
-        step = F.coalesce("_key", F.lit("*"))
-        told = _described(F.col("_key").isNull(), F.col("_child"), with_values)
+        step = F.coalesce(member_step(F.col("_key")), item_step(F.col("_pos"))) if places else F.coalesce("_key", F.lit("*"))
+        told = _described(F.col("_key").isNull(), F.col("_child"), with_values, mark)
         rows = children.select(
             *keep,
             F.when(reached, F.array_append("_path", step)).otherwise(F.col("_path")).alias("_path"),
@@ -140,10 +157,10 @@ def flatten_json(
             "_whole",
             F.when(reached, F.col("_child")).alias("_value"),
         ).withColumn("_value", opened(F.col("_value"), F.element_at("_info", -1)))
-    return _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth)
+    return _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth, places, compared)
 
 
-def _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth) -> DataFrame:
+def _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth, places, compared) -> DataFrame:
     """Path rows of the leaves: nodes ``_from`` to the leaf itself, then what is below the leaf."""
     leaf = F.size("_path") - 1
     if max_depth is not None:
@@ -152,15 +169,16 @@ def _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth) -
         failed = F.raise_error(message).cast("array<string>")
         rows = rows.withColumn("_path", F.when(deeper, failed).otherwise(F.col("_path")))
         below = F.lit(None).cast(
-            f"array<struct<parent_path:array<string>,key:string,info:{_info_type(with_values)}>>"
+            f"array<struct<parent_path:array<string>,key:string,info:{_info_type(with_values, compared is not None)}>>"
         )
     else:
         below = prepared(
-            ("below", descend_arrays, with_values),
+            ("below", descend_arrays, with_values, places, compared),
             lambda: F.when(
                 F.coalesce("_whole", "_value").isNotNull(),
                 _opened_in_place(
-                    F.coalesce("_whole", "_value"), F.col("_path"), descend_arrays, with_values
+                    F.coalesce("_whole", "_value"), F.col("_path"), descend_arrays, with_values, places,
+                    None if compared is None else F.col(compared),
                 ),
             ),
         )
@@ -179,6 +197,7 @@ def _emitted(rows, keep, include_root, with_values, descend_arrays, max_depth) -
         F.when(deep, found.info).otherwise(F.get("_info", F.col("_n"))).alias("_i"),
     )
     extra = ["size", "scalar", "members"] if with_values else []
+    extra += ["canonical", "repeats"] if compared is not None else []
     return nodes.select(
         *keep,
         F.array_append("parent_path", F.col("key")).alias("path"),

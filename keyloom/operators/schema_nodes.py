@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.functions.descend import descend, nesting_depth
+from keyloom.functions.descend import ITEM, MEMBER, descend, item_step, member_step, nesting_depth
 from keyloom.functions.schema_walk import ref_pointer
 from keyloom.session import materialize
 
-# A pointer is a list of steps; a step is this letter and the key, or the other one and the position.
-MEMBER, ITEM = "k", "i"
 POINTED = "struct<ptr:array<string>,x:variant>"
 NODE = ["dataset", "ptr"]
 
@@ -60,9 +58,9 @@ def schema_nodes(schemas: DataFrame) -> DataFrame:
 
     def children(s):
         members = F.transform(F.map_entries(J.object_map(s["x"])), lambda e: F.struct(
-            F.array_append(s["ptr"], F.concat(F.lit(MEMBER), e["key"])).alias("ptr"), e["value"].alias("x")))
+            F.array_append(s["ptr"], member_step(e["key"])).alias("ptr"), e["value"].alias("x")))
         listed = F.transform(J.array_items(s["x"]), lambda v, i: F.struct(
-            F.array_append(s["ptr"], F.concat(F.lit(ITEM), i.cast("string"))).alias("ptr"), v.alias("x")))
+            F.array_append(s["ptr"], item_step(i)).alias("ptr"), v.alias("x")))
         return F.coalesce(members, listed, J.empty(f"array<{POINTED}>"))
 
     x = F.col("x")
@@ -113,7 +111,7 @@ def resolved(objects: DataFrame) -> DataFrame:
 
     Pointers are followed through objects. References that lead nowhere, or around in a circle, have no row.
     """
-    step = F.transform(ref_pointer(F.col("ref")), lambda k: F.concat(F.lit(MEMBER), k))
+    step = F.transform(ref_pointer(F.col("ref")), member_step)
     named = objects.where("ref IS NOT NULL").select(*NODE, step.alias("target"))
     plain = objects.select("dataset", F.col("ptr").alias("target"), F.col("has_ref").alias("more"))
     links = materialize(named.join(plain, ["dataset", "target"]), "schema-refs")

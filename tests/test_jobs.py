@@ -48,7 +48,7 @@ def test_group_split_is_disjoint(spark):
 
 
 def test_validation(spark):
-    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "anyOf": [{}], "properties": {
+    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "propertyNames": {}, "properties": {
         "n": {"type": "integer", "minimum": 2}, "s": {"enum": ["x", 1]},
         "l": {"type": "array", "minItems": 1, "items": {"type": "string", "pattern": "^a"}},
         "o": {"properties": {"q": {}}, "patternProperties": {"^p": {"type": "null"}},
