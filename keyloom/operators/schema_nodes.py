@@ -73,6 +73,13 @@ def schema_nodes(schemas: DataFrame) -> DataFrame:
     return rows.select("dataset", "ptr", "kind", F.when(scalar, F.col("text")).alias("text"))
 
 
+def with_reference_flag(schemas: DataFrame) -> DataFrame:
+    """``schemas`` with ``refs``: whether ``$ref`` is written anywhere in them. Written to the shared folder, as a filter on
+    the flag would else be worked out for every row that the schemas are derived from."""
+    text = F.to_json(J.parse(F.col("schema_json")))
+    return materialize(schemas.withColumn("refs", F.coalesce(F.contains(text, F.lit('"$ref"')), F.lit(False))), "schemas")
+
+
 def _last(n: int = 1) -> Column:
     return F.get("ptr", F.size("ptr") - n)
 

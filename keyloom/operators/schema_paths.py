@@ -26,7 +26,7 @@ from keyloom.functions.schema_walk import (
     type_is,
     walk,
 )
-from keyloom.operators.schema_nodes import observed_static_paths
+from keyloom.operators.schema_nodes import observed_static_paths, with_reference_flag
 from keyloom.session import prepared
 
 # Keywords that hold lists of alternative or combined schemas.
@@ -154,9 +154,9 @@ def static_paths(
     those that begin an observed one, however far a recursion goes and however it branches.
     """
     if observed is not None:
-        marked = schemas.withColumn("_refs", F.coalesce(F.contains(F.to_json(J.parse(F.col("schema_json"))), F.lit('"$ref"')), F.lit(False)))
-        plain = static_paths(marked.where("NOT _refs").drop("_refs"), variant, assume_closed, max_path_length)
-        referring = marked.where("_refs").drop("_refs")
+        marked = with_reference_flag(schemas)
+        plain = static_paths(marked.where("NOT refs").drop("refs"), variant, assume_closed, max_path_length)
+        referring = marked.where("refs").drop("refs")
         if referring.isEmpty():
             return plain
         return plain.unionByName(observed_static_paths(referring, observed, variant, assume_closed))

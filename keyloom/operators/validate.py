@@ -36,6 +36,7 @@ from keyloom.functions.schema_walk import (
 from keyloom.functions.segments import engine_patterns, search
 from keyloom.operators.flatten import flatten_json
 from keyloom.operators.joins import BROADCAST_BYTES, measured_bytes, sized_join
+from keyloom.operators.schema_nodes import with_reference_flag
 from keyloom.session import materialize, prepared
 from keyloom.sources.schemas import draft_version
 
@@ -337,11 +338,13 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
     datasets without a schema are not looked at. What a branch of a combining keyword demands is
     reported as that keyword, at the value where it stands.
     """
-    has_schema = schemas.select("dataset").distinct()
+    marked_schemas = with_reference_flag(schemas.select("dataset", "schema_json"))
+    has_schema = marked_schemas.select("dataset").distinct()
     longest = MAX_PATH_LENGTH
     parsed = docs.select("dataset", "doc_id", J.parse(F.col(json_col)).alias("doc"))
-    if _recursive(schemas):
-        seen = flatten_json(parsed.join(has_schema, "dataset", "left_semi").select("dataset", "doc"))
+    referring = marked_schemas.where("refs").select("dataset")
+    if not referring.isEmpty():  # how deep the data is bounds the walk through recursive references
+        seen = flatten_json(parsed.join(referring, "dataset", "left_semi").select("dataset", "doc"))
         longest = int(seen.agg(F.max(F.size("path"))).first()[0] or 1)
     root = F.array(token("key", F.lit("$")))
     lines = has_schema.select("dataset", F.inline(F.array(F.struct(
@@ -350,7 +353,7 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
         F.lit(None).cast("array<struct<kind:string,text:string>>").alias("allowed"),
         J.empty(f"array<{BRANCH}>").alias("scope"), F.lit(None).cast("string").alias("own"),
     ))))
-    constraints = _runnable(schema_constraints(schemas, longest).unionByName(lines)).select(
+    constraints = _runnable(schema_constraints(marked_schemas.drop("refs"), longest).unionByName(lines)).select(
         "*",
         F.transform("path", lambda t: t.kind.isin(*OPEN)).alias("mask"),
         F.transform("path", lambda t: F.when(t.kind.isin(*OPEN), "").when(t.kind == "index", ITEM).otherwise(
@@ -394,11 +397,6 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
     )
 
 
-def _recursive(schemas: DataFrame) -> bool:
-    """Whether any schema has references, so that a walk may need to know how deep the data is."""
-    return not schemas.where(F.contains(F.to_json(J.parse(F.col("schema_json"))), F.lit('"$ref"'))).isEmpty()
-
-
 def _decided(hits: DataFrame, deepest: int) -> DataFrame:
     """What remains of ``hits`` when all branches have been decided, innermost first: rows without a scope.
 
