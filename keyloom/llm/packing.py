@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,22 +18,112 @@ from keyloom.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
-KNOWN_WORDS = 400_000  # words whose ids a task remembers before it starts anew
+KNOWN_WORDS = 400_000  # words, and parts of words, whose ids a task remembers before it starts anew
 RANKED = 1_000  # pieces of one length that one task ranks
 
 LINE_WORDS = 256  # new words given to the tokenizer as one text
 MARK = "|"  # stands between them; a word with it is a text of its own
 
-_tokenizers: dict[str, tuple] = {}
+# Words of ASCII and of the letters of Latin-1: composed already, with one lower-case letter for each capital.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Fixed value: line ends, and the parts that the public word_bpe tokenizer cuts such a word into once it is lower-cased.
+PARTS = "\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+"
+_PARTS = re.compile(PARTS)
+LINE_END = b"\xff\xff\xff\xff"  # ids stay below 2**24, so no four bytes of them in a row are these
 
+_tokenizers: dict[str, "_Words"] = {}
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and the ids of the words seen by this Python worker."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+class _Words:
+    """A tokenizer and the ids of the words that this Python worker has seen."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")  # each is found before a text is cut
+        self.short = None
+        if self._cuts_as_expected():
+            # The same model without the steps before it: parts come lower-cased, composed and cut already.
+            self.short = Tokenizer(self.tokenizer.model)
+            self.short.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab = self.tokenizer.get_vocab()
+            assert max(vocab.values()) < 1 << 24
+            self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a part
+            self.last[[i for t, i in vocab.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+            self.byte_signs = {b: chr(c) for b, c in _byte_signs().items()}
+
+    def _cuts_as_expected(self) -> bool:
+        """Whether the steps before the model are those that PARTS stands for."""
+        import json
+
+        made = json.loads(self.tokenizer.to_str())
+        steps = [(made["normalizer"] or {}).get("normalizers", []), (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        found = [[s["type"] for s in x] for x in steps]
+        if found != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or not made["model"].get("end_of_word_suffix"):
+            return False
+        split, signs = steps[1]
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        return split["pattern"] == {"Regex": pattern} and split["behavior"] == "Removed" and split["invert"] and not signs["add_prefix_space"]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Work out the ids of words not yet known."""
+        if self.short is not None:
+            text = b"\n".join(words).decode("utf-8", "replace")
+            if not _PLAIN_LINES.fullmatch(text) or self.special.search(text):
+                plain = [bool(_PLAIN.fullmatch(t)) and not self.special.search(t) for t in text.split("\n")]
+                rest = [w for w, fits in zip(words, plain) if not fits]
+                words = [w for w, fits in zip(words, plain) if fits]
+                text = b"\n".join(words).decode("utf-8", "replace")
+            else:
+                rest = []
+            if words:
+                self._learn_plain(words, text)
+            words = rest
+        if words:
+            self.known.update(zip(words, _encode_words(self.tokenizer, [w.decode("utf-8", "replace") for w in words])))
+
+    def _learn_plain(self, words: list[bytes], text: str) -> None:
+        """The same for plain words, given as lines of a text too. An id that no vocabulary has stands for a line end."""
+        found = _PARTS.findall(text.lower())
+        if len(self.parts) > KNOWN_WORDS:
+            self.parts.clear()
+        self.parts["\n"] = LINE_END
+        new = list(set(found).difference(self.parts))
+        if new:
+            self.parts.update(zip(new, self._encode_parts(new)))
+        self.known.update(zip(words, b"".join(map(self.parts.__getitem__, found)).split(LINE_END)))
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: parts are given in lines, and end at an id that ends a word."""
+        signs = [p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_signs) for p in parts]
+        lines = [" ".join(signs[i : i + LINE_WORDS]) for i in range(0, len(signs), LINE_WORDS)]
+        out: list[bytes] = []
+        for n, found in enumerate(self.short.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            raw, stops = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            own = parts[n * LINE_WORDS : (n + 1) * LINE_WORDS]
+            if len(stops) != len(own) or stops[-1] != len(raw):
+                raise ValueError("the tokenizer's ids do not end where words end")
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def _words(path: str) -> _Words:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path)
     return _tokenizers[path]
 
 
@@ -40,16 +131,16 @@ def encode(path: str, data: list[bytes]) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers, without an end id.
 
     The tokenizer drops ASCII white space before it looks for pieces and none of its pieces or special tokens spans any, so
-    the ids of a text are those of its words; equal words are encoded once.
+    the ids of a text are those of its words; equal words are encoded once. Plain words are cut into their parts here, and
+    equal parts are encoded once; all other words go through the whole tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
+    words = _words(path)
     split = [text.split() for text in data]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    known.update(zip(new, _encode_words(tokenizer, [w.decode("utf-8", "replace") for w in new])))
-    return [b"".join([known[w] for w in words]) for words in split]
+    if len(words.known) > KNOWN_WORDS:
+        words.known.clear()
+    known = words.known
+    words.learn(list(set().union(*split).difference(known)))
+    return [b"".join(map(known.__getitem__, found)) for found in split]
 
 
 def _encode_words(tokenizer, words: list[str]) -> list[bytes]:

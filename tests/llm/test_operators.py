@@ -499,3 +499,15 @@ def test_words_are_segmented_like_the_whole_text():
     model = pieces.load(PIECES)
     for text in ("  two  spaces ", "a b\nc d", "été ▁ x", " ", "<unk> <s>"):
         assert pieces.encode_text(model, text)[::2] == pieces._ids(model, pieces.SPACE + text.replace(" ", pieces.SPACE))[::2]
+
+
+def test_word_ids_equal_those_of_whole_texts(rows):
+    """Plain words are cut here; ids are those of the whole tokenizer for any text, special tokens' names included."""
+    from tokenizers import Tokenizer
+
+    odd = ["O'Neil's DON'T it's 'S 're'LL", "é É ÀÇß ÿŸ Ω İ ſ K áé", "x|y | || a|", "4.5,6 $%^ a<|endoftext|>b <|startoftext|>",
+           "日本語 テスト nb ab\u0085cd \U0001f600", "ªº²³¹½ µ× ÷ð", "", " \t", "AKIA9__-x=/+", "a" * 3000]
+    texts = [t or "" for _, t in rows] + odd
+    whole = Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)
+    got = packing.encode(WORD_BPE, [t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole]
