@@ -162,6 +162,19 @@ def invalid_count_lines(spark, sf):
     return validate.invalid_count(validate.validate_documents(docs, schemas))
 
 
+@query("validate_choices_events", """
+    WITH d AS (SELECT concat('event-', event_type, '.json') AS dataset, event_id AS doc_id, value,
+                      CASE WHEN event_id % 23 = 0 THEN 'none' WHEN event_id % 17 = 0 THEN 'number' WHEN event_id % 10 = 0 THEN 'list' ELSE 'object' END AS form
+               FROM events),
+    broken AS (SELECT *, 'parse' AS keyword FROM d WHERE form = 'none'
+               UNION ALL SELECT *, 'not' FROM d WHERE form = 'number'
+               UNION ALL SELECT *, 'oneOf' FROM d WHERE form IN ('number', 'list') OR (form = 'object' AND (value <= 50) = (doc_id % 2 = 0)))
+    SELECT dataset, doc_id, '$' AS path, keyword, 'violation' AS status FROM broken""")
+def validate_choices_events(spark, sf):
+    """Branches of combining keywords, decided per document."""
+    return validate.validate_documents(I.derive(spark, sf, I.EVENT_DOCS), I.derive(spark, sf, I.CHOICE_SCHEMAS))
+
+
 def _curated(spark, sf):
     """Event schemas plus one schema per region that has no documents, and one that is not JSON."""
     docs = I.derive(spark, sf, I.EVENT_DOCS)

@@ -56,6 +56,18 @@ SELECT dataset,
 FROM (SELECT DISTINCT concat('event-', event_type, '.json') AS dataset FROM events) AS d
 """
 
+# Exactly one of two descriptions of an event, and no bare number.
+CHOICE_SCHEMAS = """
+SELECT dataset, '{"oneOf":[{"type":"object","required":["value"],"properties":{"value":{"maximum":50}}},{"type":"object","required":["id"],"properties":{"id":{"multipleOf":2}}}],"not":{"type":"integer"}}' AS schema_json
+FROM (SELECT DISTINCT concat('event-', event_type, '.json') AS dataset FROM events) AS d
+"""
+
+# Objects inside objects without end, below three names.
+RECURSIVE_SCHEMAS = """
+SELECT dataset, '{"$ref":"#/definitions/n","definitions":{"n":{"properties":{"deep":{"$ref":"#/definitions/n"},"a":{"$ref":"#/definitions/m"},"b":{"$ref":"#/definitions/n"}},"additionalProperties":false},"m":{"$ref":"#/definitions/n"}}}' AS schema_json
+FROM (SELECT DISTINCT concat('line-', l_returnflag, '.json') AS dataset FROM lineitem) AS d
+"""
+
 # One schema per part: eight shapes that together use every keyword the extractors look at.
 PART_SCHEMAS = """
 SELECT concat(p_brand, '-', p_partkey, '.json') AS dataset,
@@ -82,6 +94,8 @@ _TABLES = {
     LINE_SCHEMAS: "lineitem",
     EVENT_SCHEMAS: "events",
     PART_SCHEMAS: "part",
+    CHOICE_SCHEMAS: "events",
+    RECURSIVE_SCHEMAS: "lineitem",
 }
 
 

@@ -55,6 +55,19 @@ def label_paths_closed(spark, sf):
     return labels.label_paths(observed_lines(spark, sf), static, "closed").select("dataset", path_column(), "label")
 
 
+@query(
+    "recursive_static_paths_lines",
+    I.with_docs(I.LINE_DOCS, I.ITEMS_SQL, I.NODES_SQL, _OBSERVED, select="""
+    SELECT dataset, array_to_string(path, '/') AS path FROM observed
+    WHERE len(list_filter(path[2:], lambda p: p NOT IN ('deep', 'a', 'b'))) = 0"""),
+)
+def recursive_static_paths_lines(spark, sf):
+    """A recursive schema, walked as far as the documents go."""
+    schemas = I.derive(spark, sf, I.RECURSIVE_SCHEMAS)
+    static = schema_paths.static_paths(schemas, "closed", observed=observed_lines(spark, sf))
+    return static.select("dataset", F.array_join(schema_paths.path_text(F.col("path")), "/").alias("path"))
+
+
 @query(
     "label_paths_explicit",
     I.with_docs(I.LINE_DOCS, I.ITEMS_SQL, I.NODES_SQL, _OBSERVED, _DOCS_AND_WALK, _walk(_EXPLICIT), """
