@@ -2,6 +2,7 @@
 
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (source / "a.json").write_text('{"x":{"y":[1]}}\n{"x":2}\n')
     (source / "b.json").write_text('{"x":1}\n')
     keys = streaming.stream_key_frequency(streaming.stream_json_lines(spark, str(source), max_files=1))
-    name = f"stream-{os.path.basename(str(tmp_path))}"
+    name = f"stream-{uuid.uuid4().hex}"  # a stream goes on where an earlier one of that name ended
     run = streaming.write_key_frequency(keys, name).trigger(availableNow=True).start()
     run.awaitTermination(120)
     got = spark.read.parquet(f"{shared_dir(spark)}/{name}").collect()
