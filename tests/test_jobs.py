@@ -1,7 +1,6 @@
 """Joins, samples, validation, nested schemas, files and streams."""
 
 import json
-import os
 import uuid
 
 import pytest
