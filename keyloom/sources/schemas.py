@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
+from keyloom.sources.files import list_files, write_row_files
 
 # Version marks in a schema's "$schema" address, in order of precedence.
 DRAFT_MARKS = [
@@ -79,16 +80,17 @@ def dataset_inventory(schemas: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def write_schema_files(schemas: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write one file per dataset, named like it: what :func:`read_schemas` reads."""
+    write_row_files(schemas.select("dataset", "schema_json").dropna(), path, mode)
+
+
 def data_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names and byte lengths of the files in a folder, without reading their content.
+    """Files below a folder, listed by tasks and not opened: dataset, length.
 
-    Scans leave zero-byte files out, so the names come from the file listing that Spark keeps for
-    the folder anyway, and files without a scanned length are empty.
+    The dataset is the partition folder that :func:`documents.write_json_lines` makes, or else the
+    file's name. Zero-byte files are listed.
     """
-    name = F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("dataset")
-    files = spark.read.format("binaryFile").load(path)
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(name)
-    sizes = files.select(name, "length")
-    return listed.join(sizes, "dataset", "left").select(
-        "dataset", F.coalesce("length", F.lit(0)).alias("length")
-    )
+    folder = F.regexp_extract("path", r"(?:^|/)dataset=([^/]*)/", 1)
+    name = F.when(folder != "", F.url_decode(folder)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return list_files(spark, path).select(name.alias("dataset"), "length")

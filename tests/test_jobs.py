@@ -1,6 +1,7 @@
 """Joins, samples, validation, nested schemas, files and streams."""
 
 import json
+import pathlib
 import uuid
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import json_values as J
 from keyloom.operators import flatten, joins, metrics, nest, profile, sampling, validate
 from keyloom.session import materialize, shared_dir
-from keyloom.sources import documents, features, schemas
+from keyloom.sources import documents, features, files, schemas
 from keyloom.streaming import documents as streaming
 from tests.fixtures import document_rows, schema_rows
 
@@ -136,3 +137,35 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_types_of_mask(spark):
     row = spark.range(1).select(J.types_of_mask(F.lit(0b1000101)).alias("t")).first()
     assert row.t == ["array", "integer", "string"]
+
+
+def test_stream_deltas_count_a_repeated_batch_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text('{"x":{"y":[1]}}\n{"x":2}\n')
+    (source / "b.json").write_text('{"x":1}\n{"x":"t","z":{}}\n')
+    name = f"deltas-{uuid.uuid4().hex}"
+    docs = streaming.stream_json_lines(spark, str(source), max_files=1)
+    streaming.write_key_deltas(docs, name).trigger(availableNow=True).start().awaitTermination(120)
+    batch = flatten.document_items(documents.read_json_lines(spark, str(source)))
+    want = sorted(map(str, profile.key_frequency(flatten.flatten_json(batch, include_root=True)).collect()))
+    assert sorted(map(str, streaming.read_key_deltas(spark, name).collect())) == want
+    # The last batch was computed but not noted as done: it runs again.
+    notes = pathlib.Path(f"{shared_dir(spark)}/{name}-checkpoint/commits")
+    for file in [notes / "1", notes / ".1.crc"]:
+        file.unlink(missing_ok=True)
+    streaming.write_key_deltas(docs, name).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(str, streaming.read_key_deltas(spark, name).collect())) == want
+
+
+def test_listing_and_row_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.json", "{}"), ("b/c.json", ""), (None, "x"), ("é.json", None)], "n string, t string")
+    files.write_row_files(rows, f"file:{tmp_path}/out")
+    files.write_row_files(rows, f"{tmp_path}/out")
+    found = {r.path: r.length for r in files.list_files(spark, f"{tmp_path}/out", 3).collect()}
+    assert found == {"a.json": 2, "b%2Fc.json": 0, "é.json": 0}
+    (tmp_path / "out" / "dataset=x y.json" / "deep").mkdir(parents=True)
+    (tmp_path / "out" / "dataset=x y.json" / "deep" / "part-0").write_text("123")
+    sizes = {r.dataset: r.length for r in schemas.data_files(spark, f"{tmp_path}/out").collect()}
+    assert sizes["x y.json"] == 3 and sizes["a.json"] == 2
+    assert files.list_files(spark, str(tmp_path / "out"), 1).count() == 4

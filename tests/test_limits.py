@@ -1,6 +1,7 @@
 """Inputs beyond the usual: fragments of JSON, deep and self-referring schemas, odd patterns, NULL names, hot keys."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,48 @@ def test_release_removes_the_tables(spark, tmp_path):
     assert os.path.isdir(folder)
     release(spark)
     assert not os.path.isdir(folder)
+
+
+def test_many_patterns_of_one_dataset(spark):
+    """100,000 pattern paths: literal steps meet by equality, the others in rows of bounded length."""
+    number = F.col("id").cast("string")
+    last = F.when(F.col("id") % 1000 == 0, F.concat(F.lit("x"), number, F.lit("[ab]+"))).otherwise(F.concat(F.lit("k"), number))
+    patterns = spark.range(100_000).select(F.lit("d").alias("dataset"), F.array(F.lit("$"), F.lit("root"), last).alias("path"))
+    rows = [("d", ["$", "root", s]) for s in ("k1", "k99999", "k99999z", "x3000ab", "x3000c", "x3001a", "other")]
+    observed = spark.createDataFrame([*rows, ("e", ["$", "root", "k1"])], "dataset string, path array<string>")
+    full = {r.path[2] for r in labels.matched_by_segments(observed, patterns).collect()}
+    assert full == {"k1", "k99999", "x3000ab"}
+    marked = {(r.dataset, r.path[2]): r.label for r in labels.label_paths(observed, patterns, "pattern").collect()}
+    assert {k for k, v in marked.items() if v} == {("d", s) for s in ("k1", "k99999", "k99999z", "x3000ab")}
+
+
+@pytest.mark.parametrize("mode", ["fullmatch_or_eq", "prefix"])
+def test_text_paths_equal_step_by_step_comparison(spark, mode):
+    steps = ["a", "ab", "a.", "(", "", "b+", "A", "a b", "é"]
+    names = ["a", "ab", "abc", "(", "", "bb", "A", "a b", "é", "éa", "a."]
+    texts = spark.createDataFrame([("d", [x, y]) for x in steps for y in steps], "dataset string, path array<string>")
+    observed = spark.createDataFrame([("d", [x, y]) for x in names for y in names], "dataset string, path array<string>")
+
+    def fits(name, step):
+        if name == step:
+            return True
+        try:
+            return bool((re.fullmatch if mode == "fullmatch_or_eq" else re.match)(step, name))
+        except re.error:
+            return False
+
+    want = {(x, y) for x in names for y in names if any(fits(x, p) and fits(y, q) for p in steps for q in steps)}
+    if mode == "prefix":
+        texts = texts.filter("path[0] != '' AND path[1] != ''")
+        want = {(x, y) for x in names for y in names if any(fits(x, p) and fits(y, q) for p in steps for q in steps if p and q)}
+    got = {tuple(r.path) for r in labels._matched_texts(observed, texts, mode).collect()}
+    assert got == want
+
+
+def test_ranks_take_more_digits_for_more_rows(spark, monkeypatch):
+    rows = spark.range(500).withColumn("h", sampling.seeded_hash(3, F.col("id")))
+    want = [r.id for r in rows.orderBy("h", "id").collect()]
+    monkeypatch.setattr(sampling, "ROWS_IN_BUCKET", 2)
+    ranked = sampling.ranked_by_hash(rows, "h", "id", total="n").collect()
+    assert [r.id for r in sorted(ranked, key=lambda r: r["rank"])] == want
+    assert {r.n for r in ranked} == {500}

@@ -254,9 +254,8 @@ def oversample_labels(spark, sf):
     """SELECT doc_id, row_number() OVER (ORDER BY md5(concat('7|', doc_id)), doc_id) - 1 AS position FROM documents""",
 )
 def seeded_shuffle_documents(spark, sf):
-    ids = I.table(spark, sf, "documents").select("doc_id", sampling.seeded_hash(7, F.col("doc_id")).alias("h"))
-    shuffled = sampling.ranked_by_hash(ids, "h", "doc_id")
-    return shuffled.select("doc_id", (F.col("rank") - 1).alias("position"))
+    ids = I.table(spark, sf, "documents").select("doc_id")
+    return sampling.seeded_shuffle(ids, "doc_id", seed=7, position="position")
 
 
 @query("ordered_output_orders", I.with_docs(I.ORDER_DOCS, I.ITEMS_SQL, I.NODES_SQL, _OBSERVED, select="""
