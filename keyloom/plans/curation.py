@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import schema_rewrite, validate
 from keyloom.session import materialize
+from keyloom.sources.schemas import write_schema_files
 
 FLAGS = ["exist", "empty", "loaded", "dereferenced", "modified", "validation"]
 
@@ -43,3 +44,8 @@ def curate(docs: DataFrame, schemas: DataFrame, inventory: DataFrame) -> tuple[D
         )
     )
     return chosen.select("dataset", "schema_json"), flags
+
+
+def save_curated(curated: DataFrame, path: str) -> None:
+    """Write the schemas that curation kept, one file per dataset, replacing what the folder held."""
+    write_schema_files(curated, path, mode="overwrite")

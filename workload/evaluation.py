@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keyloom.operators import classify, metrics, nest, profile, validate
 from keyloom.operators import flatten as flat
 from keyloom.plans import curation, evaluation
-from keyloom.session import materialize
+from keyloom.session import materialize, shared_dir
+from keyloom.sources.schemas import dataset_inventory, read_schemas
 from workload import inputs as I
 from workload.profiles import keys_of
 from workload.registry import path_column, query
@@ -188,8 +191,6 @@ def _curated(spark, sf):
     loaded = F.try_parse_json("schema_json").isNotNull().alias("loaded")
     schemas = events.unionByName(regions).select("dataset", "schema_json", loaded)
     sizes = docs.groupBy("dataset").agg(F.sum(F.octet_length("json").cast("bigint") + 1).alias("length"))
-    from keyloom.sources.schemas import dataset_inventory
-
     return curation.curate(docs, schemas, dataset_inventory(schemas, sizes))
 
 
@@ -218,6 +219,16 @@ def curation_funnel_events(spark, sf):
     return validate.curation_funnel(_curated(spark, sf)[1])
 
 
+@query("saved_schemas_events", """
+    SELECT DISTINCT concat('event-', event_type, '.json') AS dataset, true AS loaded, 'object' AS kind FROM events WHERE event_type <> 'error'""")
+def saved_schemas_events(spark, sf):
+    """Curated schemas, written one file each and read again."""
+    folder = f"{shared_dir(spark)}/curated-{uuid.uuid4().hex}"
+    curation.save_curated(_curated(spark, sf)[0], folder)
+    back = read_schemas(spark, folder)
+    return back.select("dataset", "loaded", F.get_json_object("schema_json", "$.type").alias("kind"))
+
+
 @query("choose_schema_events", """
     SELECT DISTINCT concat('event-', event_type, '.json') AS dataset, false AS is_closed FROM events WHERE event_type <> 'error'""")
 def choose_schema_events(spark, sf):
@@ -332,7 +343,35 @@ def parent_is_dynamic_orders(spark, sf):
     return nest.below_dynamic(nodes, _dynamic(profiles)).select("dataset", path_column(), "parent_is_dynamic")
 
 
-@query("reduction_summary_lines")
+# The same count for documents whose node $/parts is abstracted where the rule finds it: what lies
+# below it goes, and it gains a list of types.
+_ABSTRACTED = """
+dynamic AS (SELECT dataset, path FROM labelled WHERE pred = 1 AND label = 1),
+kept AS (SELECT l.dataset, l.path, l.len, l.name, l.types, l.inner_node AND d.path IS NULL AS inner_node, d.path IS NOT NULL AS abstracted
+         FROM lines AS l LEFT JOIN dynamic AS d ON d.dataset = l.dataset AND d.path = l.path
+         WHERE NOT EXISTS (SELECT 1 FROM dynamic AS a WHERE a.dataset = l.dataset AND starts_with(l.path, a.path || '/'))),
+before AS ({before}),
+after AS ({after}),
+sizes AS (SELECT round(b.bytes / 1024, 2) AS original_kb, round(a.bytes / 1024, 2) AS abstracted_kb
+          FROM before AS b JOIN after AS a USING (dataset))
+"""
+_ITEM_SIZE = _SIZE.replace("CASE WHEN len = 1", "CASE WHEN len = 1 OR name = '*'")  # a list's items have no list of types
+_AFTER = _ITEM_SIZE.replace("FROM lines", "FROM kept").replace(
+    "+ 4 * len + 1 + 1)",
+    """+ CASE WHEN abstracted THEN 1 + (4 * len + 2 + length('"additionalProperties": {') + 1)
+         + (4 * len + 4 + length('"type": [') + 1) + (4 * len + 6 + length('"object"') + 1) + (4 * len + 4 + 1 + 1)
+         + (4 * len + 2 + 1 + 1) ELSE 0 END
+    + 4 * len + 1 + 1)""",
+)
+
+
+@query(
+    "reduction_summary_lines",
+    I.with_docs(I.LINE_DOCS, I.ITEMS_SQL, I.NODES_SQL, I.KEYS_SQL, I.PROFILE_SQL, _LABELLED, _NESTED,
+                _ABSTRACTED.replace("{before}", _ITEM_SIZE).replace("{after}", _AFTER), select="""
+    SELECT round(avg(original_kb), 2) AS original_kb, round(avg(abstracted_kb), 2) AS abstracted_kb,
+           round(avg((original_kb - abstracted_kb) / original_kb), 4) AS average_reduction FROM sizes"""),
+)
 def reduction_summary_lines(spark, sf):
     keys, profiles = labelled_profiles(spark, sf)
     scored = classify.entropy_rule(profiles, datatype=0, threshold=0.0005)

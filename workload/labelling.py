@@ -249,6 +249,38 @@ def oversample_labels(spark, sf):
     return sampling.oversample(rows, "doc_id", label="toxic", ratio=0.5, seed=101)
 
 
+@query(
+    "train_and_test_parts",
+    """
+    WITH rows AS (SELECT concat(p_name, '-', p_partkey, '.json') AS dataset, concat('["$","', p_type, '"]') AS path,
+                         CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS label FROM part),
+    groups AS (SELECT DISTINCT substr(dataset, 1, 4) AS g FROM rows),
+    ranked AS (SELECT g, row_number() OVER (ORDER BY md5(concat('101|', g)), g) AS r, count(*) OVER () AS n FROM groups),
+    sided AS (SELECT dataset, path, label, r <= floor(0.8 * n) AS trains FROM rows JOIN ranked ON substr(dataset, 1, 4) = g),
+    sizes AS (SELECT label, count(*) AS n FROM sided WHERE trains GROUP BY 1),
+    plan AS (SELECT min(n) AS small, (floor(max(n) * 0.5) - min(n))::BIGINT AS extra, arg_min(label, n) AS minority FROM sizes),
+    minority AS (SELECT dataset, path, label, row_number() OVER (ORDER BY md5(concat('101|', dataset, '|', path)), concat(dataset, '|', path)) AS r
+                 FROM sided WHERE trains AND label = (SELECT minority FROM plan)),
+    draws AS (SELECT 1 + ('0x' || substr(md5(concat('101|', d)), 1, 15))::BIGINT % (SELECT small FROM plan) AS r
+              FROM (SELECT unnest(range(1, greatest((SELECT extra FROM plan), 0) + 1)) AS d) AS x)
+    SELECT CASE WHEN trains THEN 'train' ELSE 'test' END AS side, dataset, path, label, 0 AS copy FROM sided
+    UNION ALL
+    SELECT 'train', dataset, path, label, row_number() OVER (PARTITION BY dataset, path) FROM minority JOIN draws USING (r)
+    """,
+)
+def train_and_test_parts(spark, sf):
+    rows = I.table(spark, sf, "part").select(
+        F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("dataset"),
+        F.array(F.lit("$"), F.col("p_type")).alias("path"),
+        F.when(F.col("p_size") > 45, 1).otherwise(0).alias("label"),
+    )
+    train, test = features.train_and_test(rows, 0.8, 101)
+    sides = train.withColumn("side", F.lit("train")).unionByName(
+        test.withColumn("copy", F.lit(0).cast("bigint")).withColumn("side", F.lit("test"))
+    )
+    return sides.select("side", "dataset", F.to_json("path").alias("path"), "label", "copy")
+
+
 @query(
     "seeded_shuffle_documents",
     """SELECT doc_id, row_number() OVER (ORDER BY md5(concat('7|', doc_id)), doc_id) - 1 AS position FROM documents""",
