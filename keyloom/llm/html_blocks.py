@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,10 +54,17 @@ breadcrumbs pagination pager sidebar aside complementary contentinfo footer mast
 recommended recommendations widget comment comments commentlist respond reply replies disqus form dialog
 """.split())
 
+# Words beside a hint that do not change what it says.
+PLACES = frozenset("""
+site main page global primary secondary top bottom left right center inner outer box block list item items wrap wrapper container
+area section content bar panel header links buttons icons unit slot
+""".split())
+_OUTSIDE = (False, 0, 0, False)  # aside, article, group, doubted: outside of all elements
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+    r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>"""
     r"|<[!?/][^>]*>"
     r"|</?[a-z][^>]*>",
     re.I | re.S,
@@ -74,21 +82,24 @@ class Block:
     aside: bool  # in an element that is no part of an article
     main: int  # number of the article or main element around it, 0 for none
     group: int  # number of the innermost element around it that groups blocks, 0 for none
+    doubted: bool  # in an element whose name holds a word that hints at no article, among others
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order. White space inside a block is one space; character references are decoded."""
     out: list[Block] = []
-    opened: list[tuple[str, bool, int, int]] = []  # element, aside, number of the article, of the group
+    opened: list[tuple] = []  # element, aside, number of the article, of the group, doubted
+    names: Counter[str] = Counter()  # of the open elements
     parts: list[str] = []
     links: list[str] = []
-    in_link, aside, main, group, articles, groups, at = False, False, 0, 0, 0, 0, 0
+    in_link, articles, groups, at = False, 0, 0, 0
+    aside, main, group, doubted = now = _OUTSIDE
 
     def close_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            out.append(Block(text, linked, aside, main, group))
+            out.append(Block(text, linked, aside, main, group, doubted))
         parts.clear()
         links.clear()
 
@@ -97,10 +108,15 @@ def blocks_of(page: str) -> list[Block]:
         if in_link:
             links.append(text)
 
-    for token in _TOKEN.finditer(page):
+    # Behind the last > no tag ends. Up to it every < that may begin one is taken with the next > at the latest, so
+    # the page is read in time linear in its length, whatever is left open in it.
+    stop = page.rfind(">") + 1
+    for token in _TOKEN.finditer(page, 0, stop):
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
+        if at == stop and _left_open(token):
+            at = len(page)
         name = (token["name"] or "").lower()
         if not name:
             continue
@@ -109,48 +125,69 @@ def blocks_of(page: str) -> list[Block]:
         elif name == "br":
             add(" ")
         if name not in BLOCKS and name not in ASIDE:
-            if not _marks_aside(name, token["rest"]) or token["end"] or name in VOID:
+            if token["end"] or name in VOID or not any(_marks(name, token["rest"])):
                 if token["end"]:
-                    aside, main, group = _pop(opened, name, (aside, main, group), close_block)
+                    aside, main, group, doubted = now = _pop(opened, names, name, now, close_block)
                 continue
         close_block()
         in_link = False
         if token["end"]:
-            aside, main, group = _pop(opened, name, (aside, main, group), close_block)
+            aside, main, group, doubted = now = _pop(opened, names, name, now, close_block)
         elif name not in VOID:
             if name == "p" and opened and opened[-1][0] == "p":
                 opened.pop()
-                aside, main, group = opened[-1][1:] if opened else (False, 0, 0)
+                names["p"] -= 1
+                aside, main, group, doubted = opened[-1][1:] if opened else _OUTSIDE
             if name in MAIN and not main:
                 articles += 1
                 main = articles
-            aside = aside or name in ASIDE or (name == "header" and not main) or _marks_aside(name, token["rest"])
+            vetoed, hinted = _marks(name, token["rest"])
+            aside = aside or name in ASIDE or (name == "header" and not main) or vetoed
+            doubted = doubted or hinted
             if name in GROUPS:
                 groups += 1
                 group = groups
-            opened.append((name, aside, main, group))
+            now = (aside, main, group, doubted)
+            opened.append((name, *now))
+            names[name] += 1
     add(page[at:])
     close_block()
     return out
 
 
-def _pop(opened: list, name: str, now: tuple[bool, int, int], close_block) -> tuple[bool, int, int]:
+def _left_open(token: re.Match) -> bool:
+    """Whether a comment or an element without markup goes on behind the token, as nothing ends it."""
+    if token["raw"]:
+        return re.search(rf"</{token['raw']}\s*>\Z", token[0], re.I) is None
+    return token[0].startswith("<!--") and not token[0].endswith("-->")
+
+
+def _pop(opened: list, names: Counter, name: str, now: tuple, close_block) -> tuple:
     """Close the innermost element of that name and what is open in it; an end without a start changes nothing."""
-    for i in range(len(opened) - 1, -1, -1):
-        if opened[i][0] == name:
-            close_block()
-            del opened[i:]
-            return opened[-1][1:] if opened else (False, 0, 0)
-    return now
+    if not names[name]:
+        return now
+    close_block()
+    while True:
+        last = opened.pop()[0]
+        names[last] -= 1
+        if last == name:
+            return opened[-1][1:] if opened else _OUTSIDE
 
 
-def _marks_aside(name: str, rest: str) -> bool:
-    """Whether an element's class, id or role says that it is no part of the article, or it is hidden."""
+def _marks(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element is no part of the article (vetoed), and whether a word in its names hints at that.
+
+    Vetoed are hidden elements, and those with a class, id or role all of whose words are hints or say where or how
+    large the element is ("cookie-notice", "site-footer"). Another name with such a word in it ("social-history") only
+    raises a doubt.
+    """
     if not rest or name in ("html", "body", *MAIN):
-        return False
+        return False, False
     if _HIDDEN.search(rest):
-        return True
-    return any(HINTS.intersection(_PARTS.findall("".join(m.groups("")).lower())) for m in _NAMED.finditer(rest))
+        return True, False
+    words = [set(_PARTS.findall(n)) for m in _NAMED.finditer(rest) for n in "".join(m.groups("")).lower().split()]
+    hinted = [w for w in words if w & HINTS]
+    return any(w <= HINTS | PLACES for w in hinted), bool(hinted)
 
 
 def stop_share(text: str) -> float:
@@ -165,10 +202,12 @@ def first_pass(block: Block, has_main: bool) -> bool | None:
     if block.linked > LINKS * len(block.text):
         return None if block.main and len(block.text) < SHORT else False
     if len(block.text) < SHORT:
-        return None
+        return False if block.doubted else None
     share = stop_share(block.text)
     if share >= DENSE:
         return True
+    if block.doubted:
+        return False
     return False if share < SPARSE and not block.main else None
 
 
