@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +19,56 @@ POOL = 128  # rows with the highest bounds that set a query's threshold
 DENSE = 16  # a level is computed for all pairs of a step while more than one in DENSE survives
 STRIP = 1 << 20  # pairs whose coarse bounds one numpy step holds
 PAIRS = 1 << 15  # pairs whose vectors it holds
+LONG = (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(256 * x) of each component.
+    """(id, v): the vectors that take part, whose components count as floor(256 * x).
 
-    Rows without an id, NULL and empty vectors, and vectors with a NULL or non-finite component are left out. A component
-    of 2**20 and more raises, as products of such would not be exact in 64 bits.
+    Rows without an id, NULL and empty vectors, and vectors with a NULL or non-finite component are left out. Components
+    below 2**53 come floored, as (whole) doubles divided by 256; larger ones are multiples of 1 / 256 as they are.
     """
     value = F.col("v")
     wide = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    fits = lambda x: F.when(F.abs(x) < F.lit(2.0**20), F.floor(x * 256)).otherwise(
-        F.raise_error(F.concat(F.lit("component too large: "), x.cast("string"))).cast("long")
-    )
+    floored = lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x * 256) / 256).otherwise(x)
     wide = wide.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(finite)
-    return wide.select("id", F.transform(value, lambda x: fits(x).cast("long")).alias("v"))
+    return wide.select("id", F.transform(value, floored).alias("v"))
+
+
+def far(score: int) -> str:
+    """A text that sorts the numbers beyond 64 bits from high to low, for scores that a long cannot tell apart; else empty."""
+    if abs(score) < LONG:
+        return ""
+    digits = str(abs(score))
+    text = f"{len(digits):04d}{digits}"
+    return text if score < 0 else text.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def search_large(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, ...]:
+    """(query, id, score, far) as ``search``, for vectors (not yet times 256) whose products may leave 64 bits.
+
+    Products of doubles with a bound of their rounding pick the pairs that may be among the best ``k``; theirs are then
+    added up in whole numbers of any size. A score beyond 64 bits is the nearest long, and ``far`` orders it.
+    """
+    whole = lambda row: [int(c * 256) if abs(c) < 2.0**1000 else int(c) * 256 for c in row.tolist()]
+    out: tuple[list, ...] = ([], [], [], [])
+    with np.errstate(over="ignore", invalid="ignore"):
+        for own, row in zip(q_ids, q):
+            others = np.flatnonzero(x_ids != own)
+            near, slack = x[others] @ row, (np.abs(x[others]) @ np.abs(row)) * (len(row) + 2) * 2.0**-52
+            least = near - slack
+            if len(others) > k:
+                last = np.sort(np.where(np.isnan(least), -np.inf, least))[-k]
+                others = others[~(near + slack < last)]  # what is no number stays
+            a = whole(row)
+            found = sorted(((-sum(map(mul, a, whole(x[j]))), int(x_ids[j])) for j in others))[:k]
+            for negative, other in found:
+                out[0].append(int(own))
+                out[1].append(other)
+                out[2].append(max(-LONG, min(LONG, -negative)))
+                out[3].append(far(-negative))
+    return out
 
 
 def _segments(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +155,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
     Both inputs are (id, v) of ``integers()``. Vectors meet queries of the same number of components only. Queries and
     vectors are dealt by a hash into blocks of bounded size, each pair of blocks is one task's work and hands on at most
-    ``k`` rows per query; ties go to the smaller id, and a query never meets rows of its own id.
+    ``k`` rows per query; ties go to the smaller id, and a query never meets rows of its own id. Blocks whose products
+    may leave 64 bits go another, exact way (``search_large``); a score beyond 64 bits is returned as the nearest long.
     """
     queries, vectors = materialize(queries, "queries"), materialize(vectors, "vectors")
     sized = [d.groupBy(F.size("v").alias("n")).count() for d in (queries, vectors)]
@@ -136,16 +172,22 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)] * 3
+        marks = None
         if left.num_rows and right.num_rows:
             n = left.column("n")[0].as_py()
             (qi, q), (xi, x) = ((_numbers(t, "id"), _numbers(t, "v").reshape(-1, n)) for t in (left, right))
-            found = search(qi, q, xi, x, k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
+            most = [np.abs(v).max(initial=0) * 256 + 1 for v in (q, x)]
+            if max(most) < 2.0**52 and most[0] * most[1] * n < 2.0**62:
+                found = search(qi, (q * 256).astype(np.int64), xi, (x * 256).astype(np.int64), k)
+            else:
+                *found, marks = search_large(qi, q, xi, x, k)
+        found = [pa.array(c, pa.int64()) for c in found]
+        return pa.table([*found, pa.array(marks if marks is not None else [""] * len(found[0]), pa.string())], ["query_id", "vec_id", "score", "far"])
 
     keys = ["n", "rows", "columns"]
     pairs = dealt(queries, "rows", "columns").groupBy(*keys).cogroup(dealt(vectors, "columns", "rows").groupBy(*keys))
-    found = pairs.applyInArrow(compare, "query_id long, vec_id long, score long")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    found = pairs.applyInArrow(compare, "query_id long, vec_id long, score long, far string")
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "far", "vec_id"))), 1, k)
     rows = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
     return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
@@ -153,4 +195,4 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
     column = column.flatten() if pa.types.is_list(column.type) else column
-    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_numpy(zero_copy_only=False)
