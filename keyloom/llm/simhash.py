@@ -190,9 +190,15 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, node, h1, h2, h3, h4): a number for the text's set of shingles, and a SimHash of the set, of 256 bits.
+    """(doc_id, node, h1, h2, h3, h4): see ``_sketches``."""
+    return _sketches(docs, width).drop("digest")
 
-    Each shingle votes once, however often the text has it, as sets are what is compared.
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, node, h1, h2, h3, h4): a number for the text's set of shingles, and a SimHash of the set, of 256 bits.
+
+    Each shingle votes once, however often the text has it, as sets are what is compared. ``digest`` is the engine's
+    64-bit hash of the text: with it rows that share a doc_id are told apart.
     """
     names = [f"h{i}" for i in range(1, len(_MIXES) + 2)]
 
@@ -204,14 +210,16 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             sizes.append(len(found))
             nodes.append(_name(found))
         hashes, sizes = np.concatenate(hashes), np.array(sizes)
-        columns = [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(majorities(hashes, sizes).view(np.int64))]
+        columns = [pa.array([i[c] for i in ids], pa.int64()) for c in ("doc_id", "digest")]
+        columns += [pa.array(nodes, pa.int64()), pa.array(majorities(hashes, sizes).view(np.int64))]
         for factor in _MIXES:
             other = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(factor)
             other ^= other >> np.uint64(29)
             columns.append(pa.array(majorities(other, sizes).view(np.int64)))
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *names])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", *names])
 
-    return map_texts(texts(docs), step, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names))
+    rows = texts(docs).select(F.struct("doc_id", F.xxhash64("data").alias("digest")).alias("key"), "data")
+    return map_texts(rows, step, "doc_id long, digest long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def near_nodes(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
@@ -257,14 +265,15 @@ def near_nodes(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, similar: float = 0.8, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, node, component_id) for every row of ``docs(doc_id, text)``.
+    """(doc_id, digest, node, component, component_id) for every row of ``docs(doc_id, text)``.
 
-    Rows are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``similar`` or more.
+    ``component`` is a number of the group of similar rows, ``component_id`` its smallest doc_id (groups that share one
+    are told apart by ``component``); ``digest`` as in ``sketches``. Rows are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``similar`` or more.
     Candidates are found by 256-bit SimHashes of the sets within ``radius`` bits: at a similarity of 0.8 about 39 bits
     differ (48 in the smallest sets, of 4 and 5 shingles), between unrelated texts 128 with a deviation of 8. The shingles
     of a group of candidates are then compared exactly. Texts without words are equal to each other.
     """
-    rows = materialize(sketches(docs, width), "sketches")
+    rows = materialize(_sketches(docs, width), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in rows.columns if c.startswith("h")])
     nodes = materialize(nodes, "sketch-nodes")
     groups = components(near_nodes(nodes, radius), "sketch-groups").withColumnRenamed("component", "key")
@@ -284,17 +293,21 @@ def similar_components(docs: DataFrame, similar: float = 0.8, width: int = 5, ra
     found = components(linked_sets(sets, similar), "similar-components")
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node")
+    named = named.join(least, "component").select("node", "component", "component_id")
+    return rows.select("doc_id", "digest", "node").join(named, "node")
 
 
 def keep_one(docs: DataFrame, similar: float = 0.8, width: int = 5) -> DataFrame:
     """The row with the smallest doc_id of every group of similar documents, with all its columns.
 
-    Of the texts without words one stays, of rows that share the smallest doc_id one stays. Rows without a doc_id
-    cannot be named and are all kept.
+    Of the texts without words one stays. Unrelated texts that share a doc_id are groups of their own and all stay; of
+    similar ones that share the smallest doc_id the one whose text has the smallest hash stays, of repeated rows one. Rows
+    without a doc_id cannot be named and are all kept.
     """
-    found = similar_components(docs.select("doc_id", "text"), similar, width)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = similar_components(docs.select("doc_id", "text"), similar, width).where("doc_id IS NOT NULL")
+    least = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("row"))
+    kept = least.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct()
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_digest", digest)
+    named = named.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
     return named.unionByName(docs.where("doc_id IS NULL"))
