@@ -87,23 +87,25 @@ def op8(spark, sf_dir):
 CHAT_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
-         coalesce(floor(turn / 256)::BIGINT, 9007199254740992) AS part FROM conversations),
+         coalesce(floor(turn / 256)::BIGINT, 9007199254740992) AS part,
+         ((row_number() OVER (PARTITION BY conv_id, coalesce(floor(turn / 256)::BIGINT, 9007199254740992)
+           ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // 1024)::INTEGER AS sub FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 segments AS (
-  SELECT s.conv_id, perspective, part, turn, speaker, text, speaker = perspective AS own,
+  SELECT s.conv_id, perspective, part, sub, turn, speaker, text, speaker = perspective AS own,
          concat('<|im_start|>', CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
                                      ELSE concat('user name=', speaker) END, chr(10)) AS head,
          concat(text, '<|im_end|>') AS body
   FROM said AS s JOIN speakers AS p ON s.conv_id = p.conv_id),
 placed AS (
   SELECT *, (sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS stop
+    PARTITION BY conv_id, perspective, part, sub ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS stop
   FROM segments)
-SELECT conv_id, perspective, part, 0 AS sub, count(*) AS n_turns,
+SELECT conv_id, perspective, part, sub, count(*) AS n_turns,
        sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS n_masked,
        coalesce(string_agg(CASE WHEN own THEN concat(stop - length(body), '-', stop) END, ',' ORDER BY stop), '') AS mask,
        string_agg(concat(head, body, chr(10)), '' ORDER BY turn NULLS LAST, speaker, text) AS text
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective, part, sub
 """
 
 
