@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -511,3 +512,63 @@ def test_word_ids_equal_those_of_whole_texts(rows):
     whole = Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)
     got = packing.encode(WORD_BPE, [t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</a ", '<p x="', "<p x='>\"", '<a ">"', "<!--", "<script ", "<div><b>", "</p><section>", "&amp", "<p>"])
+def test_hostile_pages_take_linear_time(unit):
+    for page in (unit * 100_000, f"<p>{unit * 100_000}</p>", f"{'<div>' * 50_000}{unit * 50_000}", unit * 50_000 + "'>"):
+        start = time.process_time()
+        html_blocks.main_text(page)
+        assert time.process_time() - start < 10
+
+
+def test_hint_words_among_others_do_not_veto(spark):
+    good = "the cat sat on the mat and it was good for him to be in the house"
+    for name in ("social-history", "ad-hoc-notes", "related-work", "form-factor"):
+        assert html_blocks.main_text(f'<main><div class="{name}"><p>{good}, and so it was for all of us</p></div></main>').startswith(good)
+        assert html_blocks.main_text(f'<div class="x {name}"><p>{good}, and so it was for all of us</p><p>Share</p></div>').startswith(good)
+    for name in ("ad", "site-footer", "cookie-notice", "x comment", "newsletter_box", "share-buttons"):
+        assert html_blocks.main_text(f'<main><p>{good}, all of them.</p><div class="{name}"><p>{good}, buy it now</p></div></main>').endswith("them.")
+    assert html_blocks.main_text("<p>text</p><!-- a > b") == html_blocks.main_text("<p>text</p><script>if (a > b) c") == ""
+    nothing = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_blocks.extracted(nothing).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rng = random.Random(5)
+    vectors = [(i, [rng.choice([2.0**20, -(2.0**21), 2.0**40 + 0.3, 1e300, 0.1, -3.7]) * rng.random() for _ in range(6)]) for i in range(120)]
+    vectors += [(i, [2.0**31 - 1 + i % 3] * 6) for i in range(120, 130)] + [(i, [0.3] * 6) for i in range(130, 160)] + [(200, [1.7e308] * 6)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = topk.integers(table, "vec_id", "embedding")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(found.where("id % 50 = 0"), found, 5).collect()}
+    whole = {i: [math.floor(x * 256) if abs(x) < 2.0**900 else int(x) * 256 for x in v] for i, v in vectors}
+    limit = 2**63 - 1
+    want = {}
+    for q in (0, 50, 100, 150, 200):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), x) for x, v in whole.items() if x != q)[:5]
+        want |= {(q, n): (x, max(-limit, min(limit, -s))) for n, (s, x) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_unrelated_texts_with_one_id_stay(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "copy"), (1, a, "x")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, digest string"))
+    assert sorted(map(tuple, kept.collect())) == sorted({(1, a, "x"), (1, b, "y"), (2, c, "z")})
+
+
+def test_chat_sql_cuts_large_parts_as_the_operator(spark):
+    import duckdb
+
+    from keyloom.llm import queries
+
+    turns = [(1, i % 7, f"r{i % 3}" if i % 5 else None, f"t{i % 600}") for i in range(2600)] + [(2, 300, "system", "s"), (2, None, "u", None)]
+    columns = ["conv_id", "turn", "role", "text"]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.rotated(frame).select("conv_id", "perspective", "part", "sub", "n_turns", "n_masked", "mask", "text").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany(f"INSERT INTO conversations ({', '.join(columns)}) VALUES (?, ?, ?, ?)", turns)
+    want = con.execute(queries.CHAT_SQL).fetchall()
+    assert len(got) == len(want) > 4 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
