@@ -156,7 +156,7 @@ def among(keys: np.ndarray, found: list[tuple[int, bytes]], buckets: int) -> np.
     return np.isin((bucket.astype(np.uint64) << np.uint64(32)) | low, named)
 
 
-def with_lists(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with the list ``found`` of each chunk's rows of that table (NULL if it has none)."""
-    lists = found.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("found"))
+def with_lists(rows: DataFrame, found: DataFrame, columns: list[str], name: str = "found") -> DataFrame:
+    """``rows`` with the list ``name`` of each chunk's rows of that table (NULL if it has none)."""
+    lists = found.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(name))
     return rows.join(lists, "chunk", "left")

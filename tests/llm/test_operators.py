@@ -336,6 +336,76 @@ def test_paragraphs(docs, rows, nothing):
     assert paragraphs.deduplicated(nothing).count() == 0 and paragraphs.without_repeats(nothing).count() == 0
 
 
+def slowly_removed(rows):
+    """Which words of each row go: windows as strings, all pairs compared, components, matches followed word by word."""
+    from keyloom.llm.chunks import Chunk
+
+    units = []  # row, begin, size, shingles
+    words = [split(lower(t or "")) for _, t in rows]
+    for k, (i, t) in enumerate(rows):
+        data = (t or "").encode()
+        w = paragraphs.Windows(Chunk(np.array([i]), np.array([0, len(data)]), data))
+        for at, size in zip(w.at.tolist(), w.size.tolist()):
+            units.append((k, at, size, frozenset(tuple(words[k][j : j + 5]) for j in range(at, at + size - 4))))
+    sets = sorted({u[3] for u in units}, key=sorted)
+    parent = {s: s for s in sets}
+
+    def find(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(a & b) >= 0.8 * len(a | b):
+            parent[find(a)] = find(b)
+    place = {k: i for k, (i, _) in enumerate(rows)}
+    least, first = {}, {}
+    for u in units:
+        for table, key in ((least, u[3]), (first, find(u[3]))):
+            if key not in table or place[u[0]] < place[table[key][0]]:
+                table[key] = u
+    gone = [[False] * len(w) for w in words]
+    hit = [u for u in units if place[first[find(u[3])][0]] < place[u[0]]]
+    for k, at, size, _ in hit:
+        gone[k][at : at + size] = [True] * size
+    for k, at, size, s in hit:
+        other = least[s] if place[least[s][0]] < place[k] else first[find(s)]
+        mine, theirs = words[k], words[other[0]]
+        ends = at + size, other[1] + other[2]
+        for d in range(1, 16):
+            if min(at, other[1]) < d or mine[at - d] != theirs[other[1] - d]:
+                break
+            gone[k][at - d] = True
+        for d in range(15):
+            if ends[0] + d >= len(mine) or ends[1] + d >= len(theirs) or mine[ends[0] + d] != theirs[ends[1] + d]:
+                break
+            gone[k][ends[0] + d] = True
+    return gone
+
+
+def test_paragraphs_against_brute_force(spark):
+    rng = random.Random(11)
+    rows, inside = [], {}
+    for length in (39, 40, 45, 51, 60, 75, 100, 140):
+        passage = sentence(rng, length, 5000)
+        for _ in range(4):
+            n = rng.randrange(0, 70)
+            inside[len(rows)] = (n, length, len(rows) % 4)
+            rows.append((len(rows), f"{sentence(rng, n, 5000)} {passage.upper() if rng.random() < 0.3 else passage}\n{sentence(rng, rng.randrange(50), 5000)}"))
+    short = sentence(rng, 20, 5000)
+    changed = split(rows[28][1])
+    changed[len(changed) // 2] = "other"
+    rows += [(32, short), (33, short.replace(" ", "\n")), (34, "a b c d"), (35, "a b c d"), (36, " ".join(changed)), (37, None), (38, "")]
+    got = {r.doc_id: r for r in paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (i, text), gone in zip(rows, slowly_removed(rows)):
+        assert got[i].n_removed == sum(gone) and got[i].n_words == len(gone)
+        assert split(got[i].text) == [w for w, g in zip(split(text), gone) if not g]
+        assert got[i].n_spans == sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
+    for i, (before, length, copy) in inside.items():  # later copies go whole, first ones stay, other words but a few stay
+        assert got[i].n_removed == 0 if copy == 0 else length <= got[i].n_removed <= length + 8
+    assert [got[i].n_removed for i in (32, 33, 34, 35)] == [0, 20, 0, 0]
+
+
 def test_top_k(spark):
     rng = random.Random(4)
     vectors = [(i, [rng.gauss(0, 0.3) for _ in range(12)]) for i in range(160)]
