@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
-from keyloom.operators import classify, flatten, labels, matching, profile, schema_paths, similarity
+from keyloom.operators import classify, flatten, labels, matching, profile, schema_paths, similarity, text_classifier
 from keyloom.plans import features
 from keyloom.session import materialize
 from tests.fixtures import document_rows, schema_rows
@@ -136,3 +136,30 @@ def test_entropy_rule_and_classifier(spark):
     train = spark.createDataFrame([(float(i), int(i > 50)) for i in range(100)], "key_entropy double, label int")
     scored = classify.score(classify.fit_key_classifier(train, ["key_entropy"]), train)
     assert scored.filter("pred = label").count() >= 98
+
+
+def test_text_classifier(spark):
+    """Paths whose keys are numbers or dates are dynamic, those of field names static: parted by the keys' texts alone."""
+    names = ["title", "createdAt", "user_name", "size", "height", "email", "status", "total"]
+
+    def properties(i, dynamic, n):
+        keys = [f"{2000 + i}-0{k % 9}-{k:03}" if i % 2 else f"{i * 7919 + k}" for k in range(n)]
+        return {k: (0.5, ["int"]) for k in (keys if dynamic else [names[(i + j) % 8] for j in range(3)])}
+
+    rows = []
+    for i in range(200):
+        dynamic = i % 4 < 2
+        parts = 2 if i % 10 == 0 and dynamic else 1  # a path in several parts counts once
+        for part in range(parts):
+            rows.append(("d", ["$", f"p{i}"], part, (properties(i + part, dynamic, 3), "shallow", 0, 3, 0.5), int(dynamic)))
+    rows += [("d", ["$", "none"], 0, (None, "shallow", None, None, None), None), ("d", ["$", "empty"], 0, ({}, "shallow", 0, 0, None), 0)]
+    schema = ("dataset string, path array<string>, part int, schema struct<properties:map<string,struct<occurrence:double,type:"
+              "array<string>>>,depth_level:string,datatype_entropy:int,num_nested_keys:bigint,semantic_similarity:double>, label int")
+    described = spark.createDataFrame(rows, schema)
+    found = {r.path[1]: r for r in text_classifier.text_features(described, 64).collect()}
+    assert len(found) == 202 and found["none"]._buckets == [] and found["empty"].similarity == 0.0
+    assert all(len(set(r._buckets)) == len(r._buckets) <= 64 for r in found.values())
+    model, held_out = text_classifier.fit_text_classifier(described)
+    result = held_out.collect()
+    assert 20 <= len(result) <= 65 and all(r.pred == r.label for r in result)
+    assert text_classifier.score(model, text_classifier.text_features(described.filter("1 = 0"))).count() == 0

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import classify, metrics, nest, profile, validate
+from keyloom.operators import classify, metrics, nest, profile, similarity, text_classifier, validate
 from keyloom.operators import flatten as flat
-from keyloom.plans import curation, evaluation
+from keyloom.plans import curation, evaluation, features
 from keyloom.session import materialize, shared_dir
 from keyloom.sources.schemas import dataset_inventory, read_schemas
 from workload import inputs as I
@@ -135,6 +135,16 @@ def key_classifier_lines(spark, sf):
     return metrics.binary_metrics(classify.score(model, profiles))
 
 
+@query("key_text_classifier_lines")
+def key_text_classifier_lines(spark, sf):
+    keys, profiles = labelled_profiles(spark, sf)
+    similar = similarity.key_similarity(keys).select("dataset", "path", "semantic_similarity")
+    described = materialize(features.with_schema(profiles.join(similar, ["dataset", "path"], "left"), keys), "described")
+    model, _ = text_classifier.fit_text_classifier(described)
+    return text_classifier.score(model, text_classifier.text_features(described)).select(
+        "dataset", path_column(), "pred", F.round("prob", 6).alias("prob"))
+
+
 # What each line document violates, stated on its columns instead of its JSON: see LINE_SCHEMAS.
 _VIOLATIONS = """
 violations AS (
