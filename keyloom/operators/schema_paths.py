@@ -27,7 +27,7 @@ from keyloom.functions.schema_walk import (
     walk,
 )
 from keyloom.operators.schema_nodes import observed_static_paths, with_reference_flag
-from keyloom.session import prepared
+from keyloom.session import materialize, prepared
 
 # Keywords that hold lists of alternative or combined schemas.
 COMBINERS = ["allOf", "anyOf", "oneOf"]
@@ -125,6 +125,13 @@ def _explicit_emit(s: Column) -> Column:
     )
 
 
+def _parsed(schemas: DataFrame) -> DataFrame:
+    """Schemas as VARIANT ``x``, from texts written to the shared folder: what is asked of ``x`` would else be worked out for
+    every row that the schemas are derived from, as a filter is moved below a distinct and below a repartition."""
+    texts = materialize(schemas.select("dataset", "schema_json"), "schemas")
+    return texts.select("dataset", J.parse(F.col("schema_json")).alias("x"))
+
+
 def _paths(schemas: DataFrame, name: str, children, emit, max_path_length: int) -> DataFrame:
     def plain(path):
         return F.transform(path, lambda t: F.struct(t.kind.alias("kind"), t.token.alias("token")))
@@ -132,7 +139,7 @@ def _paths(schemas: DataFrame, name: str, children, emit, max_path_length: int)
     def build():
         return F.transform(walk(F.col("x"), children, emit, max_path_length), plain)
 
-    parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
+    parsed = _parsed(schemas)
     found = prepared((name, max_path_length), build)
     return parsed.filter(J.is_object(F.col("x"))).select("dataset", F.explode(found).alias("path"))
 
@@ -229,8 +236,7 @@ def _pointers_of_x() -> Column:
 
 def dynamic_parents(schemas: DataFrame) -> DataFrame:
     """Raw keyword pointers of objects with patterns or open keys: (dataset, pointer), one row each."""
-    parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
-    return parsed.select("dataset", F.explode(_pointers_of_x()).alias("pointer"))
+    return _parsed(schemas).select("dataset", F.explode(_pointers_of_x()).alias("pointer"))
 
 
 def count_dynamic_keys(schemas: DataFrame) -> DataFrame:
@@ -251,7 +257,8 @@ def strip_keywords(pointers: DataFrame, keywords: list[str] | None = None) -> Da
 
 
 def has_pattern_properties(schemas: DataFrame) -> DataFrame:
-    """Whether any schema inside declares ``patternProperties``."""
+    """Whether any schema inside declares ``patternProperties``. Written to the shared folder, so that a filter on the flag
+    reads it instead of walking the schemas again."""
 
     def children(s):
         return F.concat(
@@ -268,7 +275,8 @@ def has_pattern_properties(schemas: DataFrame) -> DataFrame:
 
     parsed = schemas.select("dataset", J.parse(F.col("schema_json")).alias("x"))
     found = prepared("patterns", lambda: F.exists(walk(F.col("x"), children, emit), lambda p: p))
-    return parsed.select("dataset", F.coalesce(found, F.lit(False)).alias("has_pattern_properties"))
+    flags = parsed.select("dataset", F.coalesce(found, F.lit(False)).alias("has_pattern_properties"))
+    return materialize(flags, "pattern-flags")
 
 
 def dynamic_paths_dotted(schemas: DataFrame) -> DataFrame:

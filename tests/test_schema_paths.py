@@ -88,3 +88,18 @@ def test_draft_and_name(spark):
     assert [r[0] for r in rows.select(sources.draft_version(F.col("s"))).collect()] == ["draft7", "draft4", "2020-12"]
     urls = spark.createDataFrame([("http://h/a/b.yaml",), ("http://h/a/c.json",)], "u string")
     assert [r[0] for r in urls.select(sources.schema_name_from_url(F.col("u"))).collect()] == ["b.json", "c.json"]
+
+
+def test_schemas_are_walked_once_each_and_not_per_row_they_come_from(spark):
+    """A filter on what a walk finds reads the written result; it is not moved to the rows behind a distinct."""
+    source = spark.range(50).selectExpr("concat('d', id % 2) AS dataset")
+    text = F.when(F.col("dataset") == "d0", '{"patternProperties":{"^x":{}},"additionalProperties":false}').otherwise(
+        '{"additionalProperties":false}')
+    schemas = source.distinct().withColumn("schema_json", text).repartition(4)
+    flags = schema_paths.has_pattern_properties(schemas).filter("has_pattern_properties")
+    static = schema_paths.static_paths(schemas, "closed")
+    assert [r.dataset for r in flags.collect()] == ["d0"]
+    assert sorted(r.dataset for r in static.collect()) == ["d0", "d1"]
+    for df in (flags, static):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan
