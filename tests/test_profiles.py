@@ -163,3 +163,38 @@ def test_text_classifier(spark):
     result = held_out.collect()
     assert 20 <= len(result) <= 65 and all(r.pred == r.label for r in result)
     assert text_classifier.score(model, text_classifier.text_features(described.filter("1 = 0"))).count() == 0
+
+
+def test_subkeys_ranked_and_dealt_out_as_all_of_them(spark):
+    """Paths beyond the limit, paths below it, and a path without a dataset."""
+    names = [f"k{i:03d}" for i in range(57)]
+    rows = [(d, ["$", p], k, 1, 1) for d in ("a", None) for p, n in (("big", 57), ("small", 2)) for k in names[:n]]
+    keys = spark.createDataFrame(rows, "dataset string, parent_path array<string>, key string, frequency long, type_mask int")
+    capped = profile.distinct_subkeys(keys, cap=5, buckets=3)
+    assert {(r.dataset, r.path[1]): r.distinct_subkeys for r in capped.collect()} == {
+        (d, p): names[:n] for d in ("a", None) for p, n in (("big", 5), ("small", 2))
+    }
+    parts = profile.distinct_subkeys(keys, keys_per_row=10).filter("dataset = 'a'").collect()
+    assert sorted(k for r in parts if r.path[1] == "big" for k in r.distinct_subkeys) == names
+    assert [r.distinct_subkeys for r in parts if r.path[1] == "small"] == [names[:2]]
+    assert len([r for r in parts if r.path[1] == "big"]) == 6
+
+
+def test_only_keys_of_large_paths_are_ranked(spark):
+    """The keys are read from what was written; windows see the paths beyond the cap only, over a broadcast join."""
+    keys = spark.range(30).selectExpr(
+        "'d' AS dataset", "array('$', CAST(id % 3 AS STRING)) AS parent_path", "CAST(id AS STRING) AS key", "1L AS frequency", "1 AS type_mask")
+    capped = profile.distinct_subkeys(keys, cap=20)
+    plan = capped._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "LeftSemi" in plan and "LeftAnti" in plan
+    assert sum(len(r.distinct_subkeys) for r in capped.collect()) == 30
+
+
+def test_tasks_follow_the_rows_of_a_table(spark, tmp_path, monkeypatch):
+    from workload import inputs
+
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1.5 AS o_totalprice",
+                                 "'1' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(inputs, "ROWS_PER_TASK", 20)
+    docs = inputs.derive(spark, str(tmp_path), inputs.ORDER_DOCS)
+    assert docs.rdd.getNumPartitions() == 50 and docs.count() == 1000
