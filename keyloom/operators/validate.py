@@ -291,10 +291,8 @@ def _violated() -> Column:
     members = F.col("members")
     lacks = F.size(F.array_except(names, members)) > 0
     triggered = F.array_contains(members, F.get(names, 0))
-    extra = F.exists(
-        "members",
-        lambda m: ~F.array_contains(names, m) & ~F.exists("patterns", lambda p: search(m, p)),
-    )
+    undeclared = F.array_except(members, names)
+    extra = F.exists(undeclared, lambda m: ~F.exists("patterns", lambda p: search(m, p)))
     value_kind = F.when(kind == "integer", "number").otherwise(kind)
     listed = F.exists(
         "allowed",
@@ -358,6 +356,8 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
         F.transform("path", lambda t: t.kind.isin(*OPEN)).alias("mask"),
         F.transform("path", lambda t: F.when(t.kind.isin(*OPEN), "").when(t.kind == "index", ITEM).otherwise(
             F.concat(F.lit(MEMBER), t.token))).alias("fixed"),
+        # Steps that are plain names have been compared when a value meets the constraint.
+        F.exists("path", lambda t: t.kind.isin(*OPEN, "index")).alias("tested"),
     ).withColumnRenamed("path", "steps")
     constraints = materialize(constraints, "constraints")
     fits = measured_bytes(constraints) <= BROADCAST_BYTES
@@ -381,7 +381,7 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
         lambda p, m: F.when(m, F.lit("")).when(F.startswith(p, F.lit(ITEM)), F.lit(ITEM)).otherwise(p),
     ))
     met = sized_join(shaped, constraints, ["dataset", "mask", "fixed"], "inner", fits)
-    applies = F.forall(F.zip_with("inst", "steps", _step_fits), lambda ok: ok)
+    applies = ~F.col("tested") | F.forall(F.zip_with("inst", "steps", _step_fits), lambda ok: ok)
     unchecked, combines = F.startswith("keyword", F.lit("unchecked:")), F.startswith("keyword", F.lit(COMBINES))
     holds = F.col("json_type").isNotNull() & (unchecked | combines)
     hits = met.filter(applies).filter(holds | _violated()).select(
