@@ -198,3 +198,14 @@ def test_tasks_follow_the_rows_of_a_table(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "ROWS_PER_TASK", 20)
     docs = inputs.derive(spark, str(tmp_path), inputs.ORDER_DOCS)
     assert docs.rdd.getNumPartitions() == 50 and docs.count() == 1000
+
+
+def test_a_text_is_parsed_once(spark):
+    docs = document_rows(spark, [{"a": 1}]).select(J.parse(F.col("json")).alias("doc"))
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_no_filter_repeats_what_the_document_pass_works_out(spark):
+    rows = flatten.flatten_json(flatten.document_items(document_rows(spark, [{"a": {"b": [1]}}])))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter (" in line and "variant" in line]
