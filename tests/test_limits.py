@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
 from keyloom.functions.segments import engine_pattern
-from keyloom.operators import labels, nest, profile, sampling, schema_paths, schema_rewrite, validate
+from keyloom.operators import flatten, labels, nest, profile, sampling, schema_paths, schema_rewrite, validate
 from keyloom.session import materialize, release, work_dir
 
 
@@ -176,3 +176,23 @@ def test_ranks_take_more_digits_for_more_rows(spark, monkeypatch):
     ranked = sampling.ranked_by_hash(rows, "h", "id", total="n").collect()
     assert [r.id for r in sorted(ranked, key=lambda r: r["rank"])] == want
     assert {r.n for r in ranked} == {500}
+
+
+def test_type_codes_tell_every_json_type(spark):
+    """One small number per value is carried through the document pass, not a struct with the engine's type name."""
+    texts = ['{}', '{"_":1}', '[]', '[1]', '[{"a":[2]},"x",null]', '"x"', 'true', 'null', '1', '-0', '1.0', '1.5', '1e3', '1e400', '9' * 18,
+             '9' * 19, '9' * 38, '9' * 39, '0.' + '1' * 37, '12345678901234567890.5']
+    rows = spark.createDataFrame([(t,) for t in texts], "json string").withColumn("v", F.parse_json("json"))
+    types = J.json_type_of_code(J.type_code(F.col("v")))
+    expected = F.when(J.object_map(F.col("v")).isNotNull(), "object").when(J.array_items(F.col("v")).isNotNull(), "array").otherwise(
+        J.json_type_name(F.schema_of_variant("v")))
+    told = rows.select("json", types.alias("told"), expected.alias("expected"), J.json_type(F.col("v")).alias("named")).collect()
+    assert all(r.told == r.expected == r.named and r.told in J.JSON_TYPES for r in told), told
+    no_value = spark.range(1).select(J.json_type_of_code(J.type_code(F.try_parse_json(F.lit("{")))))
+    assert no_value.first()[0] is None
+    docs = spark.createDataFrame([("d", '{"a":[{"b":1},2.5],"c":{}}')], "dataset string, json string")
+    plain = flatten.flatten_json(flatten.document_items(docs))
+    valued = flatten.flatten_json(flatten.document_items(docs), with_values=True)
+    both = ["path", "is_index", "json_type"]
+    assert sorted(plain.select(*both).collect()) == sorted(valued.select(*both).collect())
+    assert "raw_type" not in plain._jdf.queryExecution().optimizedPlan().toString()
