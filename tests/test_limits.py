@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import json_values as J
 from keyloom.functions.segments import engine_pattern
-from keyloom.operators import flatten, labels, nest, profile, sampling, schema_paths, schema_rewrite, validate
+from keyloom.operators import flatten, labels, nest, profile, sampling, schema_paths, schema_rewrite, similarity, text_classifier, validate
 from keyloom.session import materialize, release, work_dir
 
 
@@ -196,3 +196,29 @@ def test_type_codes_tell_every_json_type(spark):
     both = ["path", "is_index", "json_type"]
     assert sorted(plain.select(*both).collect()) == sorted(valued.select(*both).collect())
     assert "raw_type" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ngrams_of_a_key_are_counted_once(spark):
+    keys = spark.createDataFrame([("qty",), ("qty",), ("aaaaaa",), (None,)], "key string")
+    vectors = similarity.key_vectors(keys)
+    assert "Join" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.key: r.coordinates for r in vectors.collect()}
+    assert set(found) == {"qty", "aaaaaa"}
+    for coordinates in found.values():
+        assert sum(c.is_first for c in coordinates) == 1 and abs(sum(c.value**2 for c in coordinates) - 1) < 1e-12
+
+
+def test_text_features_are_worked_out_once(spark, monkeypatch):
+    calls = []
+    whole = text_classifier.text_features
+    monkeypatch.setattr(text_classifier, "text_features", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    property_ = {"occurrence": 0.5, "type": ["string"]}
+    schema = lambda i: ({f"k{i}": property_}, 1 + i % 2, 0, 0.1 * (i % 2))
+    described = spark.createDataFrame(
+        [("d", ["$", f"p{i}"], 0, i % 2, schema(i)) for i in range(30)],
+        "dataset string, path array<string>, part int, label int, schema struct<properties:map<string,struct<occurrence:double,"
+        "type:array<string>>>,num_nested_keys:int,datatype_entropy:int,semantic_similarity:double>",
+    )
+    featured = materialize(text_classifier.text_features(described), "featured")
+    model, _ = text_classifier.fit_text_classifier(described, featured=featured)
+    assert text_classifier.score(model, featured).count() == 30 and len(calls) == 1
