@@ -383,6 +383,28 @@ def slowly_removed(rows):
     return gone
 
 
+def test_words_are_hashed_eight_bytes_at_a_step():
+    """A word's hash depends on its bytes alone, whatever its length and the part of the chunk that it stands in."""
+    from keyloom.llm.chunks import Chunk
+
+    words = [b"", b"a", b"Ab", b"\0", b"\0a\0", b"1234567", b"12345678", b"123456789", b"x" * 63, b"y" * 64, b"z" * 65, b"Q" * 300]
+    texts = [b" ".join(words[i:] + words[:i]) for i in range(len(words))] * 200
+    ends = np.cumsum([0] + [len(t) for t in texts])
+    assert ends[-1] > paragraphs._BLOCK * 4  # several parts
+    w = paragraphs.Windows(Chunk(np.arange(len(texts)), ends, b"".join(texts)))
+    power = [pow(0x5851F42D4C957F2D, i, 1 << 64) for i in range(300)]
+    values = [int(v) for v in paragraphs._BYTE]
+    expected = {
+        t: int(paragraphs._mix(np.array([sum(values[c] * power[i] for i, c in enumerate(t)) % (1 << 64)], dtype=np.uint64))[0])
+        for t in words if t
+    }
+    data = b"".join(texts)
+    got = [(data[a:b], h) for a, b, h in zip(w.start.tolist(), w.end.tolist(), w.word.tolist())]
+    assert [t for t, _ in got] == [x for t in texts for x in t.split()] and all(h == expected[t] for t, h in got)
+    alone = [paragraphs.Windows(Chunk(np.array([i]), np.array([0, len(t)]), t)) for i, t in enumerate(texts[:20])]
+    assert np.array_equal(np.concatenate([x.word for x in alone]), w.word[: w.first[20]])
+
+
 def test_paragraphs_against_brute_force(spark):
     rng = random.Random(11)
     rows, inside = [], {}
