@@ -261,19 +261,28 @@ def _runnable(constraints: DataFrame) -> DataFrame:
     ).drop("_steps", "_own", "_around")
 
 
-def _step_fits(p: Column, t: Column) -> Column:
+def _tested_steps() -> Column:
+    """Steps of a constraint that are still open when a value meets it, each with its place; limits of positions are read once."""
+    ends = lambda t: F.split(t.token, "-")
+    placed = F.transform("path", lambda t, i: F.struct(
+        i.alias("at"), t.kind.alias("kind"), t.token.alias("token"), t.names.alias("names"), t.patterns.alias("patterns"),
+        F.when(t.kind == "index", F.get(ends(t), F.lit(0)).cast("long")).alias("low"),
+        F.when((t.kind == "index") & (F.get(ends(t), F.lit(1)) != ""), F.get(ends(t), F.lit(1)).try_cast("long")).alias("high"),
+    ))
+    return F.filter(placed, lambda t: t.kind.isin(*OPEN, "index"))
+
+
+def _step_fits(t: Column) -> Column:
+    """Whether the value's step at the place of ``t`` is one that ``t`` means."""
+    p = F.get("inst", t.at)
     name = F.substring(p, 2, 1 << 30)
     is_member = F.startswith(p, F.lit(MEMBER))
     declared = F.array_contains(t.names, name) | F.exists(t.patterns, lambda r: search(name, r))
-    place, ends = name.try_cast("long"), F.split(t.token, "-")
-    within = (place >= F.get(ends, F.lit(0)).cast("long")) & (
-        (F.get(ends, F.lit(1)) == "") | (place <= F.get(ends, F.lit(1)).try_cast("long"))
-    )
+    place = name.try_cast("long")
     return (
-        F.when(t.kind == "any", is_member & ~declared)
-        .when(t.kind == "regex", is_member & search(name, t.token))
-        .when(t.kind == "index", within)
-        .otherwise(F.lit(True))
+        F.when(t.kind == "index", (place >= t.low) & (t.high.isNull() | (place <= t.high)))
+        .when(t.kind == "any", is_member & ~declared)
+        .otherwise(is_member & search(name, t.token))
     )
 
 
@@ -357,31 +366,35 @@ def validate_documents(docs: DataFrame, schemas: DataFrame, json_col: str = "jso
         F.transform("path", lambda t: F.when(t.kind.isin(*OPEN), "").when(t.kind == "index", ITEM).otherwise(
             F.concat(F.lit(MEMBER), t.token))).alias("fixed"),
         # Steps that are plain names have been compared when a value meets the constraint.
-        F.exists("path", lambda t: t.kind.isin(*OPEN, "index")).alias("tested"),
-    ).withColumnRenamed("path", "steps")
+        _tested_steps().alias("steps"),
+    ).drop("path")
     constraints = materialize(constraints, "constraints")
     fits = measured_bytes(constraints) <= BROADCAST_BYTES
     nested = F.max(F.size("scope") + F.startswith("keyword", F.lit(COMBINES)).cast("int"))
     whole = F.exists("allowed", lambda a: a.kind.isin("object", "array")) | (F.col("keyword") == "uniqueItems")
-    deepest, comparing = constraints.agg(nested, F.bool_or(F.coalesce(whole, F.lit(False)))).first()
+    steps = F.max(F.size("mask")) - 1  # no value deeper than that meets a constraint
+    deepest, comparing, reach = constraints.agg(nested, F.bool_or(F.coalesce(whole, F.lit(False))), steps).first()
     marked, compared = parsed, None
     if comparing:
         marks = constraints.where(whole).select("dataset", F.lit(True).alias("_compared")).distinct()
         marked, compared = sized_join(parsed, marks, ["dataset"], "left", fits), "_compared"
-    masks = constraints.select("dataset", "mask", F.size("mask").alias("length")).distinct()
-    values = flatten_json(marked, include_root=True, with_values=True, places=True, compared=compared)
+    masks = constraints.select("dataset", "mask", F.size("mask").alias("length"), F.exists("mask", lambda m: m).alias("blanks")).distinct()
+    values = flatten_json(marked, include_root=True, with_values=True, places=True, compared=compared, reach=reach or 0)
     if not comparing:
         values = values.withColumn("canonical", F.lit(None).cast("string")).withColumn("repeats", F.lit(None).cast("boolean"))
     values = values.select(
         "dataset", "doc_id", F.col("path").alias("inst"), "json_type", "size", "scalar", "members", "canonical", "repeats",
         F.size("path").alias("length"),
     )
-    shaped = sized_join(values, masks, ["dataset", "length"], "inner", fits).withColumn("fixed", F.zip_with(
-        "inst", "mask",
-        lambda p, m: F.when(m, F.lit("")).when(F.startswith(p, F.lit(ITEM)), F.lit(ITEM)).otherwise(p),
-    ))
+    # The steps without positions are the same for all masks of a value, and most masks blank none.
+    closed = F.when(F.exists("inst", lambda p: F.startswith(p, F.lit(ITEM))), F.transform(
+        "inst", lambda p: F.when(F.startswith(p, F.lit(ITEM)), F.lit(ITEM)).otherwise(p)
+    )).otherwise(F.col("inst"))
+    shaped = sized_join(values.withColumn("closed", closed), masks, ["dataset", "length"], "inner", fits).withColumn("fixed", F.when(
+        F.col("blanks"), F.zip_with("closed", "mask", lambda p, m: F.when(m, F.lit("")).otherwise(p))
+    ).otherwise(F.col("closed"))).drop("closed", "blanks")
     met = sized_join(shaped, constraints, ["dataset", "mask", "fixed"], "inner", fits)
-    applies = ~F.col("tested") | F.forall(F.zip_with("inst", "steps", _step_fits), lambda ok: ok)
+    applies = (F.size("steps") == 0) | F.forall("steps", _step_fits)
     unchecked, combines = F.startswith("keyword", F.lit("unchecked:")), F.startswith("keyword", F.lit(COMBINES))
     holds = F.col("json_type").isNotNull() & (unchecked | combines)
     hits = met.filter(applies).filter(holds | _violated()).select(

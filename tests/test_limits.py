@@ -10,6 +10,7 @@ from keyloom.functions import json_values as J
 from keyloom.functions.segments import engine_pattern
 from keyloom.operators import flatten, labels, nest, profile, sampling, schema_paths, schema_rewrite, similarity, text_classifier, validate
 from keyloom.session import materialize, release, work_dir
+from tests.fixtures import document_rows
 
 
 def parsed(spark, texts):
@@ -222,3 +223,15 @@ def test_text_features_are_worked_out_once(spark, monkeypatch):
     featured = materialize(text_classifier.text_features(described), "featured")
     model, _ = text_classifier.fit_text_classifier(described, featured=featured)
     assert text_classifier.score(model, featured).count() == 30 and len(calls) == 1
+
+
+def test_values_out_of_reach_are_not_opened(spark):
+    deep = '{"a":[{"b":[[1,{"c":{}}]]},2.5],"t":"' + "x" * 40_000 + '"}'
+    texts = ['{"a":[{"b":[[1,{"c":{"d":[{"e":[[{"f":[[7]]}]]}]}}]]},2.5],"c":{},"d":[]}', "{}", '[{"a":{"b":null}},{"a":1}]', deep]
+    items = flatten.document_items(document_rows(spark, texts))
+    for options in ({}, {"with_values": True, "places": True, "include_root": True}):
+        whole = flatten.flatten_json(items, **options).collect()
+        for reach in (0, 2, 9):
+            bounded = flatten.flatten_json(items, reach=reach, **options)
+            assert sorted(map(repr, bounded.collect())) == sorted(repr(r) for r in whole if len(r.path) <= reach + 1)
+            assert bounded._jdf.queryExecution().optimizedPlan().toString().count("variant_explode") == min(reach, flatten.CHAIN_LEVELS)

@@ -187,3 +187,18 @@ def test_recursion_is_followed_as_deep_as_the_data(spark):
         deep, wrong = {"n": deep}, {"n": wrong}
     bad = invalid_of(spark, [schema], [deep, wrong])
     assert (bad["violation", 0], bad["unchecked", 0]) == ({1}, set())
+
+
+def test_values_deeper_than_all_constraints_are_not_opened(spark, monkeypatch):
+    asked = []
+    whole = validate.flatten_json
+    monkeypatch.setattr(validate, "flatten_json", lambda *a, **k: asked.append(k.get("reach")) or whole(*a, **k))
+    schema = {"properties": {"a": {"items": [{"type": "string"}, {"maximum": 3}], "additionalItems": {"type": "null"}}},
+              "patternProperties": {"^x": {"additionalProperties": {"type": "integer"}}}}
+    schemas = spark.createDataFrame([("g", json.dumps(schema))], "dataset string, schema_json string")
+    documents = [{"a": [{"deep": [[[1]]]}, 4, 5, None], "xy": {"k": {"far": {"away": 1}}, "m": 2}}, {"a": ["s", 3], "y": {"k": "s"}}]
+    got = validate.validate_documents(document_rows(spark, documents), schemas)
+    assert sorted((r.doc_id, r.path, r.keyword) for r in got.collect()) == [
+        (0, "$/a/*", "maximum"), (0, "$/a/*", "type"), (0, "$/a/*", "type"), (0, "$/xy/k", "type"),
+    ]
+    assert asked == [2]  # steps below the root of the longest constraint
