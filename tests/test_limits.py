@@ -235,3 +235,12 @@ def test_values_out_of_reach_are_not_opened(spark):
             bounded = flatten.flatten_json(items, reach=reach, **options)
             assert sorted(map(repr, bounded.collect())) == sorted(repr(r) for r in whole if len(r.path) <= reach + 1)
             assert bounded._jdf.queryExecution().optimizedPlan().toString().count("variant_explode") == min(reach, flatten.CHAIN_LEVELS)
+
+
+def test_what_nobody_reads_of_a_value_is_not_carried(spark):
+    docs = document_rows(spark, ['{"a":[{"b":1},2.5],"c":{"d":"x"}}', '{"a":[]}'])
+    rows = flatten.flatten_json(flatten.document_items(docs), with_values=True)
+    sizes = rows.groupBy("dataset").agg(F.sum("size").alias("size"))
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "_size3" in plan and "_scalar3" not in plan and "_members3" not in plan
+    assert sizes.first()["size"] == 2 + 1 + 1
