@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -383,6 +384,18 @@ def slowly_removed(rows):
     return gone
 
 
+def test_tables_of_sets_are_removed_when_they_are_linked(spark, monkeypatch):
+    written = []
+    whole = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: written.append((name, whole(df, name))) or written[-1][1])
+    items = lambda *n: np.array(n, dtype="<u4").tobytes()
+    rows = [(1, 1, items(1, 2, 3, 4, 5)), (1, 2, items(1, 2, 3, 4, 5)), (1, 3, items(9,)), (2, 4, items(7,))]
+    links = jaccard.linked_sets(spark.createDataFrame(rows, "key long, name long, items binary"), 0.8)
+    assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2))}
+    folders = {name: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for name, df in written}
+    assert not os.path.exists(folders["sets"]) and os.path.exists(folders["links"])
+
+
 def test_words_are_hashed_eight_bytes_at_a_step():
     """A word's hash depends on its bytes alone, whatever its length and the part of the chunk that it stands in."""
     from keyloom.llm.chunks import Chunk
